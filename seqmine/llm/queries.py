@@ -7,14 +7,31 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .op1_packing import pack
+from .op7_simhash import near_duplicates
+from .op8_bpe import decode, encode
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode(encode(documents(spark, sf_dir))).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op7_simhash": op7_simhash,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
