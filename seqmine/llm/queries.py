@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from . import op6_langid as _langid
+from . import op9_toxicity as _toxicity
+from .common import documents, remainder
 from .op1_packing import pack
+from .op2_secrets import scan
 from .op7_simhash import near_duplicates
 from .op8_bpe import decode, encode
 
@@ -15,6 +18,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.sha2(joined(F.filter("spans", lambda s: s["strong"])), 256).alias("base_sha256")
+    return scan(documents(spark, sf_dir)).select("doc_id", *map(number, ("assign", "access", "hex")), base, joined(F.col("spans")).alias("spans"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
+    model = _langid.learn(docs.where(~F.col("held_out")))
+    return _langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -28,10 +48,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = _toxicity.learn(_toxicity.train_rows(docs), _toxicity.train_rows(labels))
+    scored = _toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_secrets": op2_secrets,
+    "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
