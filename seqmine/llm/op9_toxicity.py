@@ -1,7 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
-Each token's score is its log-odds between toxic and other training documents with an informative Dirichlet
-prior (the pooled frequencies); tokens that aren't significantly toxic cost a fixed drift. All maximal scoring
+Terms are words and their beginnings of three to eight characters, so that inflected and compound forms share what
+is known of their stems. A term's points are its log-odds between the tokens of toxic and other training documents
+with an informative Dirichlet prior (the pooled frequencies); a token has the points of its best significant term,
+and costs a fixed drift if it has none. All maximal scoring
 segments of a text come from one linear scan over the tokens that score (the drift of what lies between them is
 a product). Segments follow the extreme-value law of local scores: one with score S in n tokens has the E-value
 K n exp(-lambda S), with lambda and K from the non-toxic training documents. A document's evidence is the least
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, remainder, text_slices
 
 _TOKEN = re.compile(r"[^\W_]+")
-#: what a token costs that isn't significantly toxic; documents that the Dirichlet prior is worth at most
-DRIFT, PRIOR = 0.5, 50
+#: what a token costs that has no points; the Dirichlet prior as a share of all training tokens
+DRIFT, PRIOR = 0.5, 0.03
 SCHEMA = "doc_id long, evidence double, score double, passages array<struct<start:int,stop:int,points:double,e_value:double>>"
 
 
@@ -52,6 +54,31 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(low) if len(low) == len(text) else [w.lower() for w in _TOKEN.findall(text)]
 
 
+def terms(words: list[str]) -> Counter:
+    """How often each term occurs in a text, four times at most: no single document decides about a term."""
+    words_ = Counter(words)
+    out = Counter(words_)
+    for w, n in words_.items():
+        for k in range(3, min(9, len(w))):
+            out[w[:k] + "*"] += n
+    return Counter({t: min(n, 4) for t, n in out.items()})
+
+
+class Points(dict):
+    """Points by token, None for one without: looked up among the terms once, forgotten when there are too many."""
+
+    def __init__(self, by_term: dict[str, float]):
+        self.by_term = by_term
+
+    def __missing__(self, word: str) -> float | None:
+        known = self.by_term
+        found = [known[t] for t in (word, *(word[:k] + "*" for k in range(3, min(9, len(word))))) if t in known]
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = out = max(found, default=None)
+        return out
+
+
 def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score) of a text in which only the hits score.
 
@@ -88,10 +115,10 @@ def evidence(found: list[tuple[int, int, float]], n: int, model: Model) -> float
 
 
 def _scored(texts: list[str | None], model: Model) -> Iterator[tuple[list[str], list]]:
-    points = model.points
+    points = Points(model.points)
     for text in texts:
         words = tokens(text)
-        yield words, segments([(i, points[w]) for i, w in enumerate(words) if w in points])
+        yield words, segments([(i, p) for i, p in enumerate(map(points.__getitem__, words)) if p is not None])
 
 
 def _sample(labels: DataFrame, max_rows: int) -> DataFrame:
@@ -113,35 +140,35 @@ def learn(df: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: int
 
         def rows():
             for k in (0, 1):
-                if n[k]:
-                    seen[k][""] = n[k]  # the documents themselves, under the one string that is no token
-                words = list(seen[k])
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([k] * len(words), pa.int32()), pa.array([seen[k][w] for w in words], pa.int64())], names=["token", "toxic", "n"])
+                seen[k][""] = n[k]  # all tokens, under the one string that is no term
+                found = list(seen[k])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([k] * len(found), pa.int32()), pa.array([seen[k][w] for w in found], pa.int64())], names=["term", "toxic", "n"])
                 seen[k].clear()
                 n[k] = 0
 
         for batch in text_slices(batches):
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[k] += 1
-                seen[k].update(set(tokens(text)))
+                words = tokens(text)
+                n[k] += len(words)
+                seen[k].update(terms(words))
             if sum(map(len, seen)) > 400_000:
                 yield from rows()
         yield from rows()
 
-    counts = docs.mapInArrow(count, "token string, toxic int, n long").groupBy("token").agg(*(F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
-    whole = counts.where("token = ''").collect()
+    counts = docs.mapInArrow(count, "term string, toxic int, n long").groupBy("term").agg(*(F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
+    whole = counts.where("term = ''").collect()
     n0, n1 = (whole[0]["n0"], whole[0]["n1"]) if whole else (0, 0)
     if not n0 or not n1:
         return Model()
-    # documents with the token against those without it; the prior is worth so many documents of the pooled shares
-    prior = float(min(n1, PRIOR))
-    a = F.lit(prior) * (F.col("n0") + F.col("n1")) / (n0 + n1)
-    odds = F.log((F.col("n1") + a) / (n1 + prior - F.col("n1") - a)) - F.log((F.col("n0") + a) / (n0 + prior - F.col("n0") - a))
-    spread = F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    terms = counts.where("token != '' and n1 > 1").select("token", odds.alias("odds"), (odds / spread).alias("z"))
-    # frequent harmless words must not count as toxic by a small surplus
-    top = terms.where((F.col("z") > least_z) & (F.col("odds") > math.log(4))).orderBy(F.desc("z"), "token").limit(max_terms).collect()
-    model = Model({r["token"]: float(r["odds"]) for r in top})
+    # the prior has the pooled frequencies and is shared by the classes as the tokens are
+    prior = PRIOR * (n0 + n1)
+    a = F.lit(prior) * (F.col("n0") + F.col("n1")) / (n0 + n1) * F.lit(1.0)
+    a1, a0 = a * n1 / (n0 + n1), a * n0 / (n0 + n1)
+    odds = F.log((F.col("n1") + a1) / (n1 + prior * n1 / (n0 + n1) - F.col("n1") - a1)) - F.log((F.col("n0") + a0) / (n0 + prior * n0 / (n0 + n1) - F.col("n0") - a0))
+    spread = F.sqrt(1 / (F.col("n1") + a1) + 1 / (F.col("n0") + a0))
+    found = counts.where("term != '' and n1 > 1").select("term", odds.alias("odds"), (odds / spread).alias("z"))
+    top = found.where((F.col("z") > least_z) & (F.col("odds") > math.log(4))).orderBy(F.desc("z"), "term").limit(max_terms).collect()
+    model = Model({r["term"]: float(r["odds"]) for r in top})
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
