@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op6_langid as _langid
+from . import op4_quality as _quality
 from . import op9_toxicity as _toxicity
 from .common import documents, remainder
 from .op1_packing import pack
@@ -29,6 +30,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir)).select("doc_id", *map(number, ("assign", "access", "hex")), base, joined(F.col("spans")).alias("spans"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.assess(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
     model = _langid.learn(docs.where(~F.col("held_out")))
@@ -59,6 +64,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op4_quality": op4_quality,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
