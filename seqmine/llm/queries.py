@@ -10,10 +10,14 @@ from . import op4_quality as _quality
 from . import op9_toxicity as _toxicity
 from .common import documents, remainder
 from .op1_packing import pack
+from .op10_pii import protect
 from .op2_secrets import scan
 from .op7_simhash import near_duplicates
 from .op8_bpe import decode, encode
 
+#: of the pseudonyms here; a real run passes a secret one
+KEY = "a key for synthetic tables"
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -61,6 +65,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return protect(documents(spark, sf_dir).select("doc_id", "text"), KEY)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -69,6 +77,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
