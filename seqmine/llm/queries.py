@@ -12,6 +12,7 @@ from .common import documents, remainder
 from .op1_packing import pack
 from .op10_pii import protect
 from .op2_secrets import scan
+from .op5_fingerprints import compare_edits
 from .op7_simhash import near_duplicates
 from .op8_bpe import decode, encode
 
@@ -38,6 +39,21 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.assess(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def said(sig: str):
+        return F.array_join(F.col(sig).cast("array<string>"), ",")
+
+    return compare_edits(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        said("signature").alias("fingerprint"),
+        said("edited_signature").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
     model = _langid.learn(docs.where(~F.col("held_out")))
@@ -73,6 +89,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op4_quality": op4_quality,
+    "op5_fingerprints": op5_fingerprints,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
