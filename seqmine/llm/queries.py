@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op6_langid as _langid
+from . import op3_interpolation as _interpolation
 from . import op4_quality as _quality
 from . import op9_toxicity as _toxicity
 from .common import documents, remainder
@@ -35,6 +36,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir)).select("doc_id", *map(number, ("assign", "access", "hex")), base, joined(F.col("spans")).alias("spans"))
 
 
+def op3_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _interpolation.score(documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.assess(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -88,6 +93,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op3_interpolation": op3_interpolation,
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_langid": op6_langid,
