@@ -130,4 +130,5 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def filter_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df that are kept, with all their columns."""
     rows = _features(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("q_row"), F.col(text_col).cast("string").alias("q_text")))
-    return rows.where("kept").select("q_row.*")
+    # the row number holds the filter above the projections: pushed below, it would repeat all of their expressions
+    return rows.withColumn("q_id", F.monotonically_increasing_id()).where("kept AND q_id >= 0").select("q_row.*")

@@ -218,9 +218,36 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: one row for each row of df."""
     docs = stored(fingerprints(df, width, id_col, text_col), "fingerprints")
-    nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, radius))
-    known = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    known = _rooted(docs, radius)
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = stored(known.join(named, "root").select("fp", "component_id"), "labels")
     return docs.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame, radius: int) -> DataFrame:
+    """fp, least (the smallest id with it), root: one row for each distinct fingerprint."""
+    nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes, radius))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def deduplicate(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without near-duplicates: of each component the row with the smallest id stays, a null one only
+    if there is no other, and of several rows with that id the one with the smallest hash of all columns."""
+    mark = F.xxhash64(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in df.columns))
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("s_row"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("s_id"), mark.alias("s_mark"), F.col(text_col).cast("string").alias("s_text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, text="s_text"):
+            fp = np.array([simhash(t, width) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "mark", "fp"])
+
+    docs = stored(whole.select("s_id", "s_mark", "s_text").mapInArrow(work, "doc_id long, mark long, fp long"), "fingerprints")
+    of_fp = docs.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    firsts = _rooted(docs, radius).select("fp", "root").join(of_fp, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    stay = stored(firsts.select(F.col("first.doc_id").alias("s_id"), F.col("first.mark").alias("s_mark")), "stay")
+    kept = whole.select("s_row", "s_id", "s_mark").join(stay, ["s_id", "s_mark"], "left_semi")
+    equal = docs.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if equal:  # rows that are the same in all columns: only then do whole rows have to meet
+        kept = kept.dropDuplicates(["s_id", "s_mark"])
+    return kept.select("s_row.*")
