@@ -23,6 +23,7 @@ rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import keyed_texts, remainder, stored, text_slices
 
-BLOCK = 8 << 20  # bytes of text in a block
-SHARD = 24 << 20  # bytes of text that a shard's n-grams come from
+BLOCK = 4 << 20  # bytes of text in a block
+SHARD = 8 << 20  # bytes of text that a shard's n-grams come from
 LEAST_SHARDS = 64
 WORD_BYTES, PAIR_BYTES, COUNT_BYTES = 8, 6, 6
 STEPS = 16  # of a factor of two, for the ratios in EM
@@ -63,13 +64,13 @@ class _Block:
         ids: defaultdict = defaultdict()
         ids.default_factory = ids.__len__
         assert ids[b""] == 0
-        flat: list[int] = []
+        flat = array("q")
         ends: list[int] = []
         for text in texts:
             flat.extend(map(ids.__getitem__, text.lower().split()))
             flat.append(0)
             ends.append(len(flat))
-        self.flat = np.array(flat, np.int64)
+        self.flat = np.frombuffer(flat, np.int64)
         self.ends = np.array(ends, np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         self.context = np.concatenate([[0], self.flat[:-1]])

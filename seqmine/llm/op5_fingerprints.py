@@ -21,11 +21,14 @@ the only document is its own next; an empty table gives no rows; other columns o
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .op4_quality import words_of
 
 #: bins of a signature (128 at most), occurrences of a word in one feature
 BINS, CHUNK = 128, 2
@@ -33,28 +36,38 @@ _NO_ID = -(1 << 63)
 _LOW, _SPAN = -60.0, 80.0  # the logarithms of ranks
 
 
-def _halves(h: Column, salt: int) -> tuple[Column, Column]:
-    """Two uniform variates in (0, 1) from one hash of the feature."""
-    x = F.xxhash64(h, F.lit(salt))
-    return tuple((v.cast("double") + 0.5) / float(1 << 32) for v in (F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: expressions in a lambda are not shared by themselves."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def _gamma(f: Column, salt: int) -> Column:
+    """A gamma(2, 1) variate: minus the logarithm of two uniform ones, the halves of a hash of the feature."""
+    x = F.xxhash64(f, F.lit(salt))
+    high, low = F.shiftrightunsigned(x, 32).cast("double") + 0.5, x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5
+    return F.lit(64 * math.log(2)) - F.log(high * low)
 
 
 def sample(f: Column, weight: Column, bins: int) -> Column:
     """Of a feature: its bin, 24 bits of its rank in there, and 32 bits that identify (feature, t), as one long."""
-    (u1, u2), (u3, u4), (b, _) = _halves(f, 1), _halves(f, 2), _halves(f, 3)
-    r, c = -F.log(u1 * u2), -F.log(u3 * u4)
-    t = F.floor(F.log(weight) / r + b)
-    rank = F.log(c) - r * (t - b) - r  # the logarithm of c / (y exp r), in the same order
-    step = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rank - _LOW) / _SPAN)) * float((1 << 24) - 1)
-    place = F.pmod(F.shiftrightunsigned(f, 20), F.lit(bins)).cast("long")
-    return F.shiftleft(place, 56).bitwiseOR(F.shiftleft(step.cast("long"), 32)).bitwiseOR(F.xxhash64(f, t).bitwiseAND(F.lit(0xFFFFFFFF)))
+    uniform = F.shiftrightunsigned(F.xxhash64(f, F.lit(3)), 12).cast("double") * 2.0**-52
+
+    def drawn(v: Column) -> Column:
+        r, b, log_c = (F.get(v, F.lit(i)) for i in range(3))
+        return _let(F.floor(F.log(weight) / r + b), lambda t: packed(t, log_c - r * (t - b + 1)))
+
+    def packed(t: Column, rank: Column) -> Column:  # rank: the logarithm of c / (y exp r), in the same order
+        step = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rank - _LOW) / _SPAN)) * float((1 << 24) - 1)
+        place = F.pmod(F.shiftrightunsigned(f, 20), F.lit(bins)).cast("long")
+        return F.shiftleft(place, 56).bitwiseOR(F.shiftleft(step.cast("long"), 32)).bitwiseOR(F.xxhash64(f, t).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    return _let(F.array(_gamma(f, 1), uniform, F.log(_gamma(f, 2))), drawn)
 
 
 def with_signature(df: DataFrame, text: str, out: str, bins: int = BINS, chunk: int = CHUNK) -> DataFrame:
     """df with the signature of a text column: (bin, identity) of each bin with features, in order, as longs."""
     h, at, s = f"{out}_h", f"{out}_at", f"{out}_s"
-    words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
-    df = df.withColumn(h, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))))
+    df = df.withColumn(h, F.sort_array(F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))))
     # where each distinct word begins among the sorted hashes
     ends = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(at, F.filter(ends, lambda i: (i == 0) | (F.get(h, i) != F.get(h, F.greatest(i - 1, F.lit(0))))))

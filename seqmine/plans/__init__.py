@@ -1,0 +1 @@
+"""Whole runs, and the queries over the driver's tables with their SQL."""

@@ -1,0 +1 @@
+"""Intentionally empty: the engine is a batch engine, and its only notion of time is the gap of timed sequences."""
