@@ -124,7 +124,9 @@ def _features(df: DataFrame) -> DataFrame:
 def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the counts, both distances, base_failed and kept: one row for each row of df."""
     rows = _features(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("q_text")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+    out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+    # all depend on the row number, so that a filter on the result isn't pushed below, where it would repeat them
+    return rows.withColumn("q_id", F.monotonically_increasing_id()).select("doc_id", *(F.when(F.col("q_id") >= 0, F.col(c)).alias(c) for c in out))
 
 
 def filter_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
