@@ -5,7 +5,7 @@ c(v) in powers of two. The mixture weights of each bucket come from expectation-
 a part of the training documents is deleted from all counts, and its bigrams are predicted by what is left. The
 final estimates use all training documents.
 
-How it runs. Documents are stored as compressed blocks of a few megabytes, the deleted ones in blocks of their
+How it runs. Documents are stored as compressed blocks of three megabytes, the deleted ones in blocks of their
 own. A block sends each of its distinct n-grams once, as sorted hashes and counts in one array for each shard of
 the hash space, so that counting shuffles some bytes for each distinct n-gram of a block, and a frequent n-gram
 is one entry of each block like any other. A shard adds the counts up and answers each block in the order in which
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import keyed_texts, remainder, stored, text_slices
 
-BLOCK = 4 << 20  # bytes of text in a block
+BLOCK = 3 << 20  # bytes of text in a block
 SHARD = 8 << 20  # bytes of text that a shard's n-grams come from
 LEAST_SHARDS = 64
 WORD_BYTES, PAIR_BYTES, COUNT_BYTES = 8, 6, 6
@@ -201,6 +201,7 @@ def _bucket(n: np.ndarray) -> np.ndarray:
 
 
 def _known(left: pa.Table, right: pa.Table, wanted: tuple[str, ...]) -> tuple[dict, _Block, list[np.ndarray]]:
+    pa.default_memory_pool().release_unused()  # of the block before
     row = left.to_pylist()[0]
     b = _Block(_texts(row), np.array(row["fold"]) != TEST)
     right = right.sort_by("shard")
@@ -286,5 +287,6 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     cells = docs.where(deleted).groupBy("block").cogroup(answers.where(deleted).groupBy("block")).applyInArrow(_cells(tokens, held, types), "cell long, n long")
     table = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # a bounded number of cells
     weights = fit(table["cell"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
-    out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(weights, tokens, types), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    whole = answers.select("shard", "block", "word_all", "pair_all")  # a cogroup gets all columns of its sides, and holds them
+    out = docs.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(_scored(weights, tokens, types), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
