@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; without it a worker stays as large as it ever was."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about max_bytes of text (one row at least), so that memory stays bounded."""
     for batch in batches:

@@ -5,7 +5,7 @@ c(v) in powers of two. The mixture weights of each bucket come from expectation-
 a part of the training documents is deleted from all counts, and its bigrams are predicted by what is left. The
 final estimates use all training documents.
 
-How it runs. Documents are stored as compressed blocks of three megabytes, the deleted ones in blocks of their
+How it runs. Documents are stored as compressed blocks of two megabytes, the deleted ones in blocks of their
 own. A block sends each of its distinct n-grams once, as sorted hashes and counts in one array for each shard of
 the hash space, so that counting shuffles some bytes for each distinct n-gram of a block, and a frequent n-gram
 is one entry of each block like any other. A shard adds the counts up and answers each block in the order in which
@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, remainder, stored, text_slices
+from .common import keyed_texts, release, remainder, stored, text_slices
 
-BLOCK = 3 << 20  # bytes of text in a block
-SHARD = 8 << 20  # bytes of text that a shard's n-grams come from
+BLOCK = 2 << 20  # bytes of text in a block
+SHARD = 4 << 20  # bytes of text that a shard's n-grams come from
 LEAST_SHARDS = 64
 WORD_BYTES, PAIR_BYTES, COUNT_BYTES = 8, 6, 6
 STEPS = 16  # of a factor of two, for the ratios in EM
@@ -148,6 +148,7 @@ def _asked(bits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                release()
                 b = _Block(_texts(row), np.array(row["fold"]) != TEST)
                 cuts = [b.cuts(0, bits), b.cuts(1, bits)]
                 out: list[list] = [[], [], [], []]
@@ -170,6 +171,7 @@ def _asked(bits: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """A shard: adds the blocks' counts up; each block's answer, all training documents and the deleted ones."""
+    release()
     block = table["block"].to_numpy()
     out = {"shard": table["shard"], "block": table["block"]}
     stats = {}
@@ -201,7 +203,7 @@ def _bucket(n: np.ndarray) -> np.ndarray:
 
 
 def _known(left: pa.Table, right: pa.Table, wanted: tuple[str, ...]) -> tuple[dict, _Block, list[np.ndarray]]:
-    pa.default_memory_pool().release_unused()  # of the block before
+    release()
     row = left.to_pylist()[0]
     b = _Block(_texts(row), np.array(row["fold"]) != TEST)
     right = right.sort_by("shard")
