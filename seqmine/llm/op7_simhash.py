@@ -115,9 +115,10 @@ def link(home: np.ndarray, far: np.ndarray, radius: int) -> list[tuple[int, int]
     if len(home) > DENSE:
         _probe(home, every, radius, take)
         return out
+    unsigned = every.view(np.uint64)  # bits of a signed number would be those of its absolute value
     for a in range(0, len(home), _BLOCK):
         for b in range(a, len(every), _BLOCK):
-            near = np.bitwise_count(home[a : a + _BLOCK, None] ^ every[None, b : b + _BLOCK]) <= radius
+            near = np.bitwise_count(unsigned[a : min(a + _BLOCK, len(home)), None] ^ unsigned[None, b : b + _BLOCK]) <= radius
             if b == a:
                 near &= ~np.tri(*near.shape, dtype=bool)
             i, j = np.nonzero(near)
