@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_slices
 
@@ -122,5 +123,5 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], evidence: int =
                 score, said = np.zeros(len(texts)), ["und"] * len(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(work, f"{kept}, lang_pred string, score double")
+    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return df.mapInArrow(work, schema)
