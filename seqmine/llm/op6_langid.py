@@ -7,7 +7,9 @@ summing by document.
 
 The fit takes whole texts of at most ``max_docs`` labelled documents for each language, chosen by a hash of the
 id; prediction covers all rows. The score is the posterior of the predicted language with the evidence of a text
-counted as that of ``evidence`` n-grams, so that long texts don't all score 1.
+counted as that of ``evidence`` n-grams, so that long texts don't all score 1. The fit compares the best language
+with a background where all buckets are equally likely: nats an n-gram, over the share of its model that isn't
+smoothing. Unlike the score it doesn't depend on how many languages there are.
 
 Defined results: null texts and texts without a letter give `und` and score 0, and so does everything if nothing
 was learned; a null language or id isn't learned from; ties go to the language first in order; repeated rows are
@@ -100,7 +102,7 @@ def learn(df: DataFrame, max_docs: int = 5000, lang_col: str = "lang") -> tuple[
 
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], evidence: int = 30) -> DataFrame:
-    """df with lang_pred and score added; reads the column text. The other columns pass by."""
+    """df with lang_pred, score and fit added; reads the column text. The other columns pass by."""
     langs, matrix = model
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(matrix)  # languages x 2^15 floats
@@ -109,19 +111,22 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], evidence: int =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = shared.value
+        # the least probable bucket has what smoothing gives to each
+        learned = np.maximum(1e-6, 1 - BUCKETS * np.exp(log_p[:, :-1].min(1, keepdims=True).astype(float))) if langs else None
         for batch in text_slices(batches):
             texts = batch.column(at).to_pylist()
             grams, starts, lettered = ngrams(texts)
             if langs:
                 like = np.stack([sum(np.add.reduceat(p[g], s, dtype=np.float64) for g, s in zip(grams, starts, strict=True)) for p in log_p])
                 n = 3.0 * np.diff(np.append(starts[0], len(grams[0])))
+                fit = np.where(lettered, ((like / n + np.log(BUCKETS)) / learned).max(0), 0.0)
                 like = like * np.minimum(1, evidence / n) + log_p[:, -1:]
                 best = like.argmax(0)
                 score = np.where(lettered, 1 / np.exp(like - like.max(0)).sum(0), 0.0)
                 said = [langs[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
             else:
-                score, said = np.zeros(len(texts)), ["und"] * len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said), pa.array(score)], names=[*names, "lang_pred", "score"])
+                score, fit, said = np.zeros(len(texts)), np.zeros(len(texts)), ["und"] * len(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said), pa.array(score), pa.array(fit)], names=[*names, "lang_pred", "score", "fit"])
 
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())])
     return df.mapInArrow(work, schema)
