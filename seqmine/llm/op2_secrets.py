@@ -7,7 +7,7 @@ widened by ``reach`` code points, within its scope, which is a paragraph (up to
 within the scope, done by searching sorted positions, finds whether the parts that complete a candidate occur: an
 identifier needs a secret, a secret an identifier or an endpoint, an endpoint a secret. Strong parts count: an
 access key is an identifier, an assignment or hexadecimal string a secret. Candidates without their complement
-and those inside a strong span are not reported.
+and those wholly inside a strong span are not reported; one that reaches beyond a strong span may be completed by it.
 
 Defined results: a null text is an empty one without spans; ids are passed on, null or not; repeated rows are
 scanned each; equal starts are ordered by kind as listed; an empty table gives no rows; other columns of the
@@ -83,18 +83,18 @@ def linked(text: str, strong: list[tuple[int, int, str]], weak: list[tuple[int,
     longest = max((b - a for a, b in taken), default=0)
 
     def inside(a: int, b: int) -> bool:
-        i = bisect_left(starts, b)
+        i = bisect_left(starts, a + 1)
         while (i := i - 1) >= 0 and starts[i] > a - longest:
-            if taken[i][1] > a:
+            if taken[i][1] >= b:
                 return True
         return False
 
     weak = [w for w in weak if not inside(w[0], w[1])]
-    by_role: dict[str, list[tuple[int, int]]] = {}
+    by_role: dict[str, list[tuple[int, int, bool]]] = {}
     for a, b, kind in sorted(strong + weak):
-        by_role.setdefault(ROLE[kind], []).append((a, b))
-    begins = {role: [a for a, _ in x] for role, x in by_role.items()}
-    widest = {role: max(b - a for a, b in x) for role, x in by_role.items()}
+        by_role.setdefault(ROLE[kind], []).append((a, b, kind in STRONG))
+    begins = {role: [a for a, *_ in x] for role, x in by_role.items()}
+    widest = {role: max(b - a for a, b, _ in x) for role, x in by_role.items()}
 
     def completed(a: int, b: int, kind: str) -> bool:
         scope = bisect_left(cuts, a)
@@ -105,8 +105,8 @@ def linked(text: str, strong: list[tuple[int, int, str]], weak: list[tuple[int,
                 continue
             i = bisect_left(begins[role], high)
             while (i := i - 1) >= 0 and begins[role][i] > low - widest[role]:
-                x, y = by_role[role][i]
-                if y > low and (y <= a or x >= b):
+                x, y, sure = by_role[role][i]
+                if y > low and (sure or y <= a or x >= b):
                     return True
         return False
 
