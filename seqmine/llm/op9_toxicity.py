@@ -174,25 +174,30 @@ def learn(df: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: int
         for batch in text_slices(batches):
             out = []
             for toxic, (words, found) in zip(batch.column(0).to_pylist(), _scored(batch.column(1).to_pylist(), model), strict=True):
-                best = sorted((s[2] for s in found), reverse=True)
-                out.append((toxic, len(words), best[:64]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], names=["toxic", "n", "best"])
+                out.append((toxic, len(words), len(found), math.fsum(s[2] for s in found)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.float64()))], names=["toxic", "n", "segments", "points"])
 
-    shown = docs.mapInArrow(show, "toxic int, n long, best array<double>").collect()  # 2 max_rows rows at most
-    clean = [r for r in shown if not r["toxic"]]
+    clean = docs.mapInArrow(show, "toxic int, n long, segments long, points double").where("toxic = 0").collect()  # max_rows rows at most
     n_tokens = sum(r["n"] for r in clean) + 1
     # lambda: E exp(lambda s) = 1 over the tokens of harmless documents, half a hit added to those seen
-    scores = [s for r in clean for s in r["best"]]
+    n_segments = sum(r["segments"] for r in clean)
     mean = float(np.mean(list(model.points.values()))) if model.points else 1.0
-    share = (len(scores) + 0.5) / n_tokens
-    size = float(np.mean(scores)) if scores else mean
+    share = (n_segments + 0.5) / n_tokens
+    size = math.fsum(r["points"] for r in clean) / n_segments if n_segments else mean
     low, high = 1e-6, 50.0
     for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if share * math.exp(mid * size) + (1 - share) * math.exp(-mid * DRIFT) < 1 else (low, mid)
     model.decay = max(low, 1e-3)
     model.rate = min(1.0, max(1e-6, share * math.exp(model.decay * size)))
-    x = np.array([evidence([(0, 0, s) for s in r["best"]], r["n"], model) for r in shown])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            x = [evidence(found, len(words), model) for words, found in _scored(batch.column(1).to_pylist(), model)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], names=["toxic", "x"])
+
+    shown = docs.mapInArrow(weigh, "toxic int, x double").collect()  # 2 max_rows rows at most
+    x = np.array([r["x"] for r in shown])
     y = np.array([r["toxic"] for r in shown], float)
     model.slope, model.bias = _logistic(np.log1p(x), y)
     return model
