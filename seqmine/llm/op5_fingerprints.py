@@ -1,22 +1,23 @@
 """Document fingerprints by consistent weighted sampling. DataFrame functions only.
 
-A document is a weighted set of words (lower case, split at white space). For a feature with weight S, r and c are
-gamma(2, 1) variates and b a uniform one, all drawn from hashes of the feature; t = floor(ln S / r + b), y =
-exp(r (t - b)), and the sample is the feature (with its t) of least c / (y exp r). The features are dealt into
-``bins`` by another hash and every bin samples its own, so each feature is drawn once and not once for each place
-of the signature. A bin's samples collide with the probability of the generalised Jaccard similarity of what is
-dealt into it, and the bins with features average to that of the documents.
-
-For bins to count alike, heavy words must not weigh more than a bin: a word occurring n times is the features
-(word, 0), (word, 1), ... of ``chunk`` occurrences each, the last one of the rest. Sums of minima and maxima over
-these equal those over whole words, so the similarity is the same.
-
-A document's features, samples and signature are arrays within its row. Documents are dealt once, by ranges of
-ids of bounded size, and the neighbour that the edited text takes from the next range comes with them.
-
-Defined results: a null text is an empty one; texts without a word have a signature of empty bins, likeness 1 to
-each other and 0 to others; null ids count as the least, equal ids go by text, repeated rows have one row each;
-the only document is its own next; an empty table gives no rows; other columns of the input are not read.
+A document is a weighted set of words (lower case, split at white space; the weight is how often a word occurs). For
+each of the ``samples`` places of a signature and each word with weight S, r and c are gamma(2, 1) variates and b a
+uniform one, all drawn from hashes of the word and the place; t = floor(ln S / r + b), y = exp(r (t - b)), and the
+place holds the word, with its t, of least c / (y exp r). Two signatures agree at a place with the probability of the
+documents' generalised Jaccard similarity (the sum of the lesser weights over that of the greater), so the share of
+equal places estimates it with a standard error of sqrt(J (1 - J) / samples), 0.09 at most for 32 samples.
+
+How it runs. Words are exploded within the task that holds their document, their draws are generated code (``LANES``
+places in a row), and the least draw of each place is an ordinary hash aggregate. Nothing but documents is shuffled,
+once: they are dealt by ranges of their place in the order of ids, and the first document of a range also goes, as a
+guest, to the range above, whose last document it follows. The ranges' bounds are a table of one row with an entry for
+each range, and documents are placed by a binary search in it, so neither plan nor driver grows with the documents.
+Documents with one id, or without any, are dealt by their texts.
+
+Defined results: a null text is an empty one; texts without a word have an empty signature, likeness 1 to each other
+and 0 to others; null ids count as the least; equal ids go by their first 64 characters, then by a hash of the text;
+repeated rows (of one id and one text) follow each other and have one row each; the only document is its own next; an
+empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -28,124 +29,146 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stored
 from .op4_quality import words_of
 
-#: bins of a signature (128 at most), occurrences of a word in one feature
-BINS, CHUNK = 128, 2
+#: places of a signature, and how many of them are drawn in one row
+SAMPLES, LANES = 32, 8
+#: characters of text in a range at most, unless the session asks for more partitions
+RANGE = 1 << 28
 _NO_ID = -(1 << 63)
 _LOW, _SPAN = -60.0, 80.0  # the logarithms of ranks
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once: expressions in a lambda are not shared by themselves."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+def _gamma(u: Column) -> Column:
+    """A gamma(2, 1) variate: minus the logarithm of two uniform ones, each of 16 of the 32 bits of u."""
+    high, low = F.shiftright(u, 16).cast("double") + 0.5, u.bitwiseAND(F.lit(0xFFFF)).cast("double") + 0.5
+    return F.lit(32 * math.log(2)) - F.log(high * low)
 
 
-def _gamma(f: Column, salt: int) -> Column:
-    """A gamma(2, 1) variate: minus the logarithm of two uniform ones, the halves of a hash of the feature."""
-    x = F.xxhash64(f, F.lit(salt))
-    high, low = F.shiftrightunsigned(x, 32).cast("double") + 0.5, x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5
-    return F.lit(64 * math.log(2)) - F.log(high * low)
+def sample(word: Column, log_weight: Column, place: Column | int) -> Column:
+    """Of a word at a place: 31 bits of the logarithm of its rank, and 32 bits that identify (word, t), as one long."""
+    place = F.lit(place) if isinstance(place, int) else place
+    x = F.xxhash64(word, place)
+    y = F.xxhash64(x, place)
+    r, log_c = _gamma(F.shiftrightunsigned(x, 32)), F.log(_gamma(x.bitwiseAND(F.lit(0xFFFFFFFF))))
+    b = (F.shiftrightunsigned(y, 32).cast("double") + 0.5) * 2.0**-32
+    t = F.floor(log_weight / r + b)
+    rank = log_c - r * (t - b + 1)  # the logarithm of c / (y exp r), in the same order; with 32 bits for each variate it is above _LOW
+    step = ((rank - _LOW) * (float((1 << 31) - 1) / _SPAN)).cast("long")
+    return F.shiftleft(step, 32).bitwiseOR((y.bitwiseAND(F.lit(0xFFFFFFFF)) + t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def sample(f: Column, weight: Column, bins: int) -> Column:
-    """Of a feature: its bin, 24 bits of its rank in there, and 32 bits that identify (feature, t), as one long."""
-    uniform = F.shiftrightunsigned(F.xxhash64(f, F.lit(3)), 12).cast("double") * 2.0**-52
-
-    def drawn(v: Column) -> Column:
-        r, b, log_c = (F.get(v, F.lit(i)) for i in range(3))
-        return _let(F.floor(F.log(weight) / r + b), lambda t: packed(t, log_c - r * (t - b + 1)))
-
-    def packed(t: Column, rank: Column) -> Column:  # rank: the logarithm of c / (y exp r), in the same order
-        step = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rank - _LOW) / _SPAN)) * float((1 << 24) - 1)
-        place = F.pmod(F.shiftrightunsigned(f, 20), F.lit(bins)).cast("long")
-        return F.shiftleft(place, 56).bitwiseOR(F.shiftleft(step.cast("long"), 32)).bitwiseOR(F.xxhash64(f, t).bitwiseAND(F.lit(0xFFFFFFFF)))
-
-    return _let(F.array(_gamma(f, 1), uniform, F.log(_gamma(f, 2))), drawn)
-
-
-def with_signature(df: DataFrame, text: str, out: str, bins: int = BINS, chunk: int = CHUNK) -> DataFrame:
-    """df with the signature of a text column: (bin, identity) of each bin with features, in order, as longs."""
-    h, at, s = f"{out}_h", f"{out}_at", f"{out}_s"
-    df = df.withColumn(h, F.sort_array(F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))))
+def weighted_words(text: Column) -> dict[str, Column]:
+    """Steps to an array of (word's hash, how often it occurs); each uses the columns of those before."""
+    hashes = F.sort_array(F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w)))
+    h, at = F.col("f_hashes"), F.col("f_at")
+    places = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
     # where each distinct word begins among the sorted hashes
-    ends = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(at, F.filter(ends, lambda i: (i == 0) | (F.get(h, i) != F.get(h, F.greatest(i - 1, F.lit(0))))))
-
-    def feature(start: Column, j: Column) -> Column:
-        n = F.coalesce(F.get(at, j + 1), F.size(h)) - start
-        word = F.get(h, start)
-        first = sample(word, F.least(n, F.lit(chunk)), bins)
-        more = F.transform(F.sequence(F.lit(0), F.ceil(n / chunk).cast("int") - 1), lambda k: sample(F.when(k == 0, word).otherwise(F.xxhash64(word, k)), F.least(n - k * chunk, F.lit(chunk)), bins))
-        return F.when(n <= chunk, F.array(first)).otherwise(more)
+    begins = F.filter(places, lambda i: (i == 0) | (F.get(h, i) != F.get(h, F.greatest(i - 1, F.lit(0)))))
+    words = F.transform(at, lambda i, j: F.struct(F.get(h, i).alias("word"), (F.coalesce(F.get(at, j + 1), F.size(h)) - i).alias("n")))
+    return {"f_hashes": hashes, "f_at": begins, "f_words": words}
 
-    df = df.withColumn(s, F.sort_array(F.flatten(F.transform(at, feature))))
-    mine = F.col(s)
-    best = F.filter(mine, lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(mine, F.greatest(i - 1, F.lit(0))), 56)))
-    ident = F.lit((127 << 56) | 0xFFFFFFFF)  # without the rank, which the weights of the two texts may change
-    return df.withColumn(out, F.transform(best, lambda x: x.bitwiseAND(ident))).drop(h, at, s)
 
+def signatures(df: DataFrame, keys: list[str], texts: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(keys, signature_0, signature_1, ...) of the columns texts: array<long> with an entry for each place, empty for a
+    text without words, null for a null text. Rows whose texts are all null have no row.
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples among the bins in which either signature has one; 1 if neither has any."""
-    same = F.size(F.array_intersect(a, b))
-    # bins of both: all that have one, less those in which the other has one too
-    bins = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, 56)), F.transform(b, lambda x: F.shiftright(x, 56))))
-    return F.when(bins == 0, 1.0).otherwise(same / F.greatest(bins, F.lit(1)).cast("double"))
+    keys tell the rows of df apart. If df is dealt by some of them, nothing is shuffled."""
+    if samples % LANES:
+        raise ValueError(f"samples must be a multiple of {LANES}")
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(t).alias("said")) for i, t in enumerate(texts))))
+    df = df.select(*keys, sides.alias("s")).select(*keys, "s.side", "s.said").where("said IS NOT NULL")
+    for name, step in weighted_words(F.col("said")).items():
+        df = df.withColumn(name, step)
+    by = [*keys, "side"]
+    words = df.select(*by, F.explode_outer("f_words").alias("w")).select(*by, F.col("w.word").alias("word"), F.log(F.col("w.n").cast("double")).alias("log_n"))
+    rows = words.select(*by, "word", "log_n", F.explode(F.array(*map(F.lit, range(samples // LANES)))).alias("part"))
+    seed = F.xxhash64("word", "part")  # without a word log_n is null, and so is the sample
+    least = rows.groupBy(*by, "part").agg(*(F.min(sample(seed, F.col("log_n"), j)).alias(f"m{j}") for j in range(LANES)))
+    whole = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("side", "part", F.array(*(F.col(f"m{j}") for j in range(LANES))).alias("m")))).alias("parts"))
 
+    def signature(k: int) -> Column:
+        own = F.filter("parts", lambda p: p["side"] == k)
+        filled = F.filter(F.flatten(F.transform(own, lambda p: p["m"])), lambda m: m.isNotNull())
+        return F.when(F.size(own) > 0, F.transform(filled, lambda m: m.bitwiseAND(F.lit(0xFFFFFFFF))))
 
-def buckets(df: DataFrame, rows: int) -> tuple[list[int], dict[int, int]]:
-    """Lower bounds of ranges of the column k with about so many rows each, and for each range with rows the largest k."""
-    n = df.count()
-    parts = max(1, -(-n // rows))
-    cuts = df.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] if parts > 1 else []
-    bounds = sorted(set(cuts or []))
-    tops = df.groupBy(_bucket(F.col("k"), bounds).alias("b")).agg(F.max("k").alias("top")).collect()  # a row for each range
-    return bounds, {r["b"]: r["top"] for r in tops}
+    return whole.select(*keys, *(signature(k).alias(f"signature_{k}") for k in range(len(texts))))
 
 
-def _bucket(k: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below k: a binary search written out."""
-    if not bounds:
-        return F.lit(0)
+def likeness(a: Column, b: Column) -> Column:
+    """Share of equal places; 1 if both signatures are empty, 0 if one is."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(same / F.greatest(F.size(a), F.size(b), F.lit(1)).cast("double"))
+
+
+def bounds(keyed: DataFrame, chars: int) -> tuple[DataFrame, int, bool]:
+    """A table of one row with the greatest key of each range of about so many characters, how many ranges there are, and
+    whether rows are repeated. keyed: key, n_chars."""
+    order = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("n_chars")), "order")
+    total, most = order.agg(F.sum(F.col("n_chars") * F.col("n")), F.max("n")).first()
+    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // chars))
+    tops = order.repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.max("key").alias("top"))
+    table = stored(tops.agg(F.sort_array(F.collect_list("top")).alias("tops")), "bounds")
+    return table, table.select(F.size("tops")).first()[0], (most or 0) > 1
+
+
+def _ranged(docs: DataFrame, table: DataFrame, ranges: int) -> DataFrame:
+    """docs with the number of tops below their keys as home: a binary search, a step for each doubling of the ranges."""
+    tops = table.select("tops").scalar()
+    docs = docs.withColumn("home", F.lit(0))
+    for k in reversed(range(max(0, ranges - 1).bit_length())):
+        beyond = F.get(tops, F.col("home") + ((1 << k) - 1)) < F.col("key")  # null past the end
+        docs = docs.withColumn("home", F.col("home") + F.when(beyond, 1 << k).otherwise(0))
+    return docs.withColumn("is_top", F.get(tops, F.col("home")) == F.col("key"))
+
+
+def compare_edits(
+    df: DataFrame, chars: int = RANGE, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", of_edited: Callable[[Column], dict[str, Column]] | None = None
+) -> DataFrame:
+    """doc_id, n_chars, edited_text, both signatures and near_edited, near_next: one row for each row of df.
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(k > bounds[mid], search(mid + 1, high)).otherwise(search(low, mid))
+    The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next document
+    in descending order of ids; the first follows the last. of_edited gives columns to return instead of the edited
+    text, which then isn't shuffled again."""
+    of_edited = of_edited or (lambda text: {"edited_text": text})
+    doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    key = F.struct(doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.substring(text, 1, 64).alias("head"), F.xxhash64(text).alias("mark"))
+    docs = df.select(key.alias("key"), text)
+    table, ranges, repeated = bounds(docs.select("key", F.length("text").cast("long").alias("n_chars")), chars)
+    copies = F.lit(1).cast("long")
+    if repeated:  # rows that follow themselves: one stands for all
+        docs, copies = docs.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), F.col("copies")
+    # the greatest key of a range is its first document, which follows the last of the range above; the greatest of all follows the least
+    at = [F.struct(F.col("home").alias("range"), F.lit(0).alias("guest")), F.struct(((F.col("home") + 1) % max(1, ranges)).alias("range"), F.lit(1).alias("guest"))]
+    placed = _ranged(docs, table, ranges).select("key", "text", copies.alias("copies"), F.explode(F.when(F.col("is_top"), F.array(*at)).otherwise(F.array(at[0]))).alias("p"))
+    placed = placed.select("p.range", "p.guest", "key", "text", "copies").repartition(max(1, ranges), "range")
+    order = W.partitionBy("range").orderBy("guest", F.desc("key"))
+    rows = placed.withColumns({"row": F.row_number().over(order), "after": F.lead("text").over(order)})
+    half = F.floor(F.length("text") / 2).cast("int")
 
-    return search(0, len(bounds))
+    def edited(after: str) -> Column:
+        return F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.coalesce(after, F.lit("")), F.lit(1), half))
 
+    home = F.col("guest") == 0
+    texts = rows.select("range", "row", "text", F.when(home, edited("after")).alias("edited"), F.when(home & (F.col("copies") > 1), edited("text")).alias("own"))
+    signed = signatures(texts, ["range", "row"], ["text", "edited", *["own"] * repeated], samples)
+    signed = signed.withColumn("next", F.lead("signature_0").over(W.partitionBy("range").orderBy("row"))).hint("shuffle_hash")
 
-def compare_edits(df: DataFrame, rows: int = 1000, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_text, both signatures and near_edited, near_next: one row for each row of df.
+    def following(after: str) -> Column:
+        return F.struct(*(c.alias(name) for name, c in of_edited(edited(after)).items()))
 
-    The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next document
-    in descending order of ids; the first follows the last."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(_NO_ID)))
-    bounds, tops = buckets(df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k")), rows)
-    ranges = sorted(tops)
-    # a range's first rows also go, as guests, to the range above, whose last row they follow; the top ones to the lowest
-    to = {tops[b]: ranges[(i + 1) % len(ranges)] for i, b in enumerate(ranges)}
-    home = _bucket(F.col("k"), bounds)
-    guest = F.element_at(F.create_map(*(F.lit(x).cast(t) for k, b in to.items() for x, t in ((k, "long"), (b, "int")))), F.col("k")) if to else F.lit(None).cast("int")
-    placed = docs.select("doc_id", "k", "text", F.explode(F.filter(F.array(F.struct(home.alias("bucket"), F.lit(0).alias("guest")), F.struct(guest.alias("bucket"), F.lit(1).alias("guest"))), lambda x: x["bucket"].isNotNull())).alias("p"))
-    placed = placed.select(F.col("p.bucket").alias("bucket"), F.col("p.guest").alias("guest"), "doc_id", "k", "text").repartition(max(1, len(ranges)), "bucket")
-    order = W.partitionBy("bucket").orderBy("guest", F.desc("k"), F.desc("text"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    rows_ = placed.withColumns({"row": F.row_number().over(order), "after": F.lead("text").over(order)})
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.coalesce("after", F.lit("")), F.lit(1), half))
-    rows_ = rows_.select("bucket", "guest", "doc_id", "row", "text", edited.alias("edited"))
-    signed = with_signature(with_signature(rows_, "text", "a", bins), "edited", "b", bins)
-    out = signed.withColumn("next", F.lead("a").over(W.partitionBy("bucket").orderBy("row"))).where("guest = 0")
-    return out.select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.col("edited").alias("edited_text"),
-        F.col("a").alias("signature"),
-        F.col("b").alias("edited_signature"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("a"), F.col("next")).alias("near_next"),
+    out = rows.where(home).select(
+        "range", "row", F.when(F.col("key.known"), F.col("key.id")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), following("after").alias("last"), *([following("text").alias("own"), "copies"] if repeated else [])
     )
+    out = out.join(signed, ["range", "row"])
+    last = F.struct("last.*", F.col("signature_1").alias("edited_signature"), "next")
+    if repeated:  # the last copy has the next document, the others the copy after them
+        others = F.array_repeat(F.struct("own.*", F.col("signature_2").alias("edited_signature"), F.col("signature_0").alias("next")), (F.col("copies") - 1).cast("int"))
+        found = F.explode(F.when(F.col("copies") > 1, F.concat(F.array(last), others)).otherwise(F.array(last)))
+        out = out.select("doc_id", "n_chars", "signature_0", found.alias("x")).select("doc_id", "n_chars", "signature_0", "x.*")
+    else:
+        out = out.select("doc_id", "n_chars", "signature_0", "last.*", F.col("signature_1").alias("edited_signature"), "next")
+    names = [c for c in out.columns if c not in ("doc_id", "n_chars", "signature_0", "edited_signature", "next")]
+    near = [likeness(F.col("signature_0"), F.col(c)).alias(name) for c, name in (("edited_signature", "near_edited"), ("next", "near_next"))]
+    return out.select("doc_id", "n_chars", *names, F.col("signature_0").alias("signature"), "edited_signature", *near)

@@ -48,10 +48,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     def said(sig: str):
         return F.array_join(F.col(sig).cast("array<string>"), ",")
 
-    return compare_edits(documents(spark, sf_dir)).select(
+    return compare_edits(documents(spark, sf_dir), of_edited=lambda text: {"edited_sha256": F.sha2(text.cast("binary"), 256)}).select(
         "doc_id",
         "n_chars",
-        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        "edited_sha256",
         said("signature").alias("fingerprint"),
         said("edited_signature").alias("edited_fingerprint"),
         "near_edited",
