@@ -5,11 +5,17 @@ halves. Every distinct fingerprint therefore emits, for each half, all variants
 bit), the shuffle brings equal variants together, and colliding pairs are verified over all 64 bits. Of two
 halves that differ in one bit, one has even and one odd parity: only the odd one has to walk to the other, so an
 even half emits itself and an odd half emits itself and its 32 neighbours (17 rows on average). Whole-word balls
-would need 2,081 variants for each fingerprint, since one side has to walk two bits.
+would need 65 variants of the fingerprints of even and 2,081 of those of odd parity, since one side has to walk two
+bits: 1,073 on average where this needs 34.
+
+Where so many fingerprints share a half that their key would be large (``CROWD``), the same is done once more within
+the key: the other half differs in three bits at most, so one of its 16-bit quarters differs in one at most, and the
+quarters' balls split the key. Two fingerprints of a split key share 48 bits but for two, so its parts are bounded by
+2^16 fingerprints whatever the number of documents.
 
 A key's fingerprints meet in one sorted run; a task links them with a union-find and emits a spanning forest,
 never the pairs. Equal fingerprints are one node from the start. Components follow by alternating large-star and
-small-star rounds, each a written table.
+small-star rounds, each a written table, until nothing changes.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; a null id has a
 fingerprint, may share a component, and never names one unless all of it is null; repeated rows are kept; an
@@ -98,8 +104,8 @@ class _Forest:
         return True
 
 
-#: rows of a key that are compared with each other at a time; above DENSE home rows they are probed instead
-_BLOCK, DENSE = 1024, 8192
+#: rows that are compared with so many others at a time; fingerprints of one half from which its keys are split
+_BLOCK, CROWD = 1024, 256
 
 
 def link(home: np.ndarray, far: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -112,9 +118,6 @@ def link(home: np.ndarray, far: np.ndarray, radius: int) -> list[tuple[int, int]
             if forest.join(a, b):
                 out.append((int(every[a]), int(every[b])))
 
-    if len(home) > DENSE:
-        _probe(home, every, radius, take)
-        return out
     unsigned = every.view(np.uint64)  # bits of a signed number would be those of its absolute value
     for a in range(0, len(home), _BLOCK):
         for b in range(a, len(every), _BLOCK):
@@ -126,34 +129,6 @@ def link(home: np.ndarray, far: np.ndarray, radius: int) -> list[tuple[int, int]
     return out
 
 
-def _probe(home: np.ndarray, every: np.ndarray, radius: int, take) -> None:
-    """The same links by balls in memory, in time linear in the key's rows: each home row walks two bits, every
-    row one, and what meets is verified (radius 3 at most)."""
-    assert radius <= 3
-    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    one = np.concatenate([[np.uint64(0)], bits])
-    two = np.concatenate([one, [a | b for i, a in enumerate(bits) for b in bits[:i]]])
-    unsigned = every.view(np.uint64)
-    for c in range(0, len(every), 1 << 16):  # the walked side, so many rows at a time
-        own = unsigned[c : c + (1 << 16)]
-        ball = (own[:, None] ^ one[None, :]).ravel()
-        order = np.argsort(ball, kind="stable")
-        ball, owner = ball[order], order // len(one) + c
-        for h in range(0, len(home), 256):
-            walk = (unsigned[h : min(h + 256, len(home)), None] ^ two[None, :]).ravel()
-            at = np.searchsorted(ball, walk)
-            i = np.flatnonzero(ball[np.minimum(at, len(ball) - 1)] == walk)
-            lo, me = at[i], i // len(two) + h
-            while len(lo):  # all owners of a meeting point, one after another
-                j = owner[lo]
-                good = (np.bitwise_count(unsigned[me] ^ unsigned[j]) <= radius) & (me != j)
-                take(me[good], j[good])
-                lo = lo + 1
-                more = lo < len(ball)
-                more[more] = ball[lo[more]] == ball[lo[more] - 1]
-                lo, me = lo[more], me[more]
-
-
 def _links(radius: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Input sorted by (half, key, far, fp); a key may go over several batches."""
@@ -188,18 +163,52 @@ def _links(radius: int):
     return work
 
 
-def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
+def _quarters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys that are split: for each quarter of the other half its ball, within the key. Halves 2 and 3 stand for these."""
+    flips = np.concatenate([[0], 1 << np.arange(16, dtype=np.int64)])
+    for batch in batches:
+        half, key, _, fp = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+        other = (fp >> (32 * (1 - half))) & 0xFFFFFFFF
+        for quarter in (0, 1):
+            v = (other >> (16 * quarter)) & 0xFFFF
+            odd = np.bitwise_count(v) & 1 == 1
+            for mask, steps in ((~odd, flips[:1]), (odd, flips)):
+                if mask.any():
+                    walked = (v[mask][:, None] ^ steps[None, :]).ravel()
+                    keys = np.repeat(key[mask], len(steps)) | (walked << 32) | (quarter << 48)
+                    far = np.tile((steps != 0).astype(np.int8), int(mask.sum()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(half[mask] + 2, len(steps)).astype(np.int8)), pa.array(keys), pa.array(far), pa.array(np.repeat(fp[mask], len(steps)))], names=["half", "key", "far", "fp"]
+                    )
+
+
+def _crowded(nodes: DataFrame, crowd: int) -> DataFrame:
+    """(half, key) of keys to split: those with so many fingerprints of their own, and those that such fingerprints walk to."""
+    halves = nodes.select(F.explode(F.array(*(F.struct(F.lit(h).cast("byte").alias("half"), F.shiftright("fp", 32 * h).bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")) for h in (0, 1)))).alias("x"))
+    many = halves.groupBy("x.half", "x.key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("half", "key")
+    steps = F.array(*(F.lit(1 << b).cast("long") for b in range(32)))
+    walked = F.when(F.bit_count("key") % 2 == 1, F.concat(F.array(F.lit(0).cast("long")), steps)).otherwise(F.array(F.lit(0).cast("long")))
+    return many.select("half", "key", F.explode(walked).alias("step")).select("half", F.col("key").bitwiseXOR(F.col("step")).alias("key")).distinct()
+
+
+def links(nodes: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFrame:
     """(a, b), a < b: links between distinct fingerprints that connect all within the radius. nodes: one column fp."""
-    assert 0 <= radius <= 3, "a half may differ in one bit: three bits at most"
-    keyed = nodes.select("fp").mapInArrow(_variants, "half byte, key long, far byte, fp long")
+    if not 0 <= radius <= 3:
+        raise ValueError("a half may differ in one bit: three bits at most")
+    kind = "half byte, key long, far byte, fp long"
+    keyed = nodes.select("fp").mapInArrow(_variants, kind)
+    split = stored(_crowded(nodes, crowd), "crowded")
+    if not split.isEmpty():
+        inside = keyed.join(split, ["half", "key"], "left_semi").select("half", "key", "far", "fp").mapInArrow(_quarters, kind)
+        keyed = keyed.join(split, ["half", "key"], "left_anti").select("half", "key", "far", "fp").unionAll(inside)
     dealt = keyed.repartition("half", "key").sortWithinPartitions("half", "key", "far", "fp")
     return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for each node with a link; large-star and small-star in turn."""
     edges = stored(edges.select("a", "b"), "links")
-    for _ in range(most_rounds):
+    while True:
         # large star: a node's larger neighbours go to its smallest neighbour (itself included)
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -213,7 +222,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges = new
         if roots:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    raise RuntimeError("components: no end within the rounds")
 
 
 def near_duplicates(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

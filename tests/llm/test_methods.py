@@ -97,22 +97,20 @@ def test_simhash_links():
         return [forest.find(i) for i in range(len(fp))]
 
     at = {int(v): i for i, v in enumerate(fp)}
-    for dense in (op7_simhash.DENSE, 0):
-        old, op7_simhash.DENSE = op7_simhash.DENSE, dense
-        try:
-            got = [(at[a], at[b]) for a, b in op7_simhash.link(fp[:200], fp[200:], 3)]
-        finally:
-            op7_simhash.DENSE = old
-        near = {(i, j) for i, j in want if j < 200}
-        assert all((max(p), min(p)) in want for p in got) and classes(got) == classes(near)
+    got = [(at[a], at[b]) for a, b in op7_simhash.link(fp[:200], fp[200:], 3)]
+    near = {(i, j) for i, j in want if j < 200}
+    assert all((max(p), min(p)) in want for p in got) and classes(got) == classes(near)
 
 
-def test_simhash_links_spark(spark):
+@pytest.mark.parametrize("crowd", [op7_simhash.CROWD, 0, 3])
+def test_simhash_links_spark(spark, crowd):
     rnd = random.Random(4)
     base = [rnd.getrandbits(64) - 2**63 for _ in range(100)]
     signed = lambda x: (x + 2**63) % 2**64 - 2**63
+    # some share a half, or all but a quarter, so that keys are crowded
+    base += [(base[0] & ~0xFFFFFFFF) | rnd.getrandbits(32) for _ in range(40)] + [(base[1] & ~0xFFFF) | rnd.getrandbits(16) for _ in range(40)]
     fp = sorted({signed(x ^ sum(1 << b for b in rnd.sample(range(64), k))) for x in base for k in (0, 1, 2, 3, 3)})
-    got = {(r["a"], r["b"]) for r in op7_simhash.links(spark.createDataFrame([(x,) for x in fp], "fp long")).collect()}
+    got = {(r["a"], r["b"]) for r in op7_simhash.links(spark.createDataFrame([(x,) for x in fp], "fp long"), crowd=crowd).collect()}
     roots = {r["node"]: r["root"] for r in op7_simhash.components(spark.createDataFrame(sorted(got), "a long, b long")).collect()}
     forest = op7_simhash._Forest(len(fp))
     for i, a in enumerate(fp):
@@ -185,5 +183,5 @@ def test_pseudonyms_are_a_permutation(spark):
 
 def test_edit_ranges_do_not_matter(spark):
     rows = spark.createDataFrame([(i, f"text number {i} of some " * (i % 7)) for i in range(60)], "doc_id long, text string")
-    one, many = (sorted(map(repr, compare_edits(rows, rows=k).collect())) for k in (1000, 7))
+    one, many = (sorted(map(repr, compare_edits(rows, chars=k).collect())) for k in (1 << 28, 400))
     assert one == many
