@@ -73,11 +73,11 @@ def learn(df: DataFrame, max_docs: int = 5000, lang_col: str = "lang") -> tuple[
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, BUCKETS + 1), np.float32)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20))
-    share: Column = F.lit(1 << 20)
+    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("langid")), 2)  # fine enough for any number of documents
+    share: Column = F.lit(1 << 62)
     for lang in langs:
         if counts[lang] > max_docs:
-            share = F.when(F.col("lang") == lang, int((1 << 20) * max_docs / counts[lang])).otherwise(share)
+            share = F.when(F.col("lang") == lang, F.lit((max_docs << 62) // counts[lang])).otherwise(share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -9,8 +9,8 @@ a product). Segments follow the extreme-value law of local scores: one with scor
 K n exp(-lambda S), with lambda and K from the non-toxic training documents. A document's evidence is the least
 Poisson tail over its r best segments, and a logistic curve fitted on the training rows turns it into a score.
 
-The fit takes at most ``max_rows`` labelled rows of each class, chosen by a hash of the id, and at most
-``max_terms`` significant tokens; scoring covers all rows and whole texts.
+The fit takes at most about ``max_rows`` labelled rows of each class, chosen by a hash of the id, with their whole
+texts and all of their significant terms; scoring covers all rows and whole texts.
 
 Defined results: null and empty texts have no evidence and get the score of none; null labels and ids aren't
 learned from; of several labels of one id the largest holds; without training rows of both classes all scores
@@ -55,17 +55,19 @@ def tokens(text: str | None) -> list[str]:
 
 
 def terms(words: list[str]) -> Counter:
-    """How often each term occurs in a text, four times at most: no single document decides about a term."""
+    """How often each term occurs in a text, as the number of its binary digits (1, 2, 2, 3, ...): repeating a term
+    in one document counts ever less, so that no single document decides about it."""
     words_ = Counter(words)
     out = Counter(words_)
     for w, n in words_.items():
         for k in range(3, min(9, len(w))):
             out[w[:k] + "*"] += n
-    return Counter({t: min(n, 4) for t, n in out.items()})
+    return Counter({t: n.bit_length() for t, n in out.items()})
 
 
 class Points(dict):
-    """Points by token, None for one without: looked up among the terms once, forgotten when there are too many."""
+    """Points by token, None for one without: looked up among the terms once, forgotten when there are too many. Long
+    tokens aren't remembered, so that the number of entries bounds the memory."""
 
     def __init__(self, by_term: dict[str, float]):
         self.by_term = by_term
@@ -73,9 +75,11 @@ class Points(dict):
     def __missing__(self, word: str) -> float | None:
         known = self.by_term
         found = [known[t] for t in (word, *(word[:k] + "*" for k in range(3, min(9, len(word))))) if t in known]
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = out = max(found, default=None)
+        out = max(found, default=None)
+        if len(word) <= 64:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -125,12 +129,12 @@ def _sample(labels: DataFrame, max_rows: int) -> DataFrame:
     """(doc_id, toxic): at most about max_rows of each class."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    part = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20))
-    share = F.when(F.col("toxic") == 1, int((1 << 20) * min(1, max_rows / max(1, n.get(1, 0))))).otherwise(int((1 << 20) * min(1, max_rows / max(1, n.get(0, 0)))))
-    return rows.where(part < share)
+    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("toxic")), 2)  # fine enough for any number of rows
+    share = [F.lit(min(1 << 62, (max_rows << 62) // max(1, n.get(k, 0)))) for k in (0, 1)]
+    return rows.where(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
 
 
-def learn(df: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: int = 20_000, least_z: float = 3.5) -> Model:
+def learn(df: DataFrame, labels: DataFrame, max_rows: int = 8000, least_z: float = 3.5) -> Model:
     """df and labels: training rows only."""
     docs = keyed_texts(df).join(F.broadcast(_sample(labels, max_rows)), "doc_id").select("toxic", "text")  # 2 max_rows rows of 12 bytes
 
@@ -167,7 +171,7 @@ def learn(df: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: int
     odds = F.log((F.col("n1") + a1) / (n1 + prior * n1 / (n0 + n1) - F.col("n1") - a1)) - F.log((F.col("n0") + a0) / (n0 + prior * n0 / (n0 + n1) - F.col("n0") - a0))
     spread = F.sqrt(1 / (F.col("n1") + a1) + 1 / (F.col("n0") + a0))
     found = counts.where("term != '' and n1 > 1").select("term", odds.alias("odds"), (odds / spread).alias("z"))
-    top = found.where((F.col("z") > least_z) & (F.col("odds") > math.log(4))).orderBy(F.desc("z"), "term").limit(max_terms).collect()
+    top = found.where((F.col("z") > least_z) & (F.col("odds") > math.log(4))).collect()  # of 2 max_rows texts
     model = Model({r["term"]: float(r["odds"]) for r in top})
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +223,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(df: DataFrame, model: Model, most_e: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, evidence, score and the significant passages: code points, E-values up to most_e."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # max_terms tokens
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the significant terms of 2 max_rows texts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
