@@ -34,8 +34,9 @@ class WordTokenizer:
     first occurrence. Runs below U+0100 go straight to the model, others through the whole pipeline.
     """
 
-    #: entries of a lookup before it starts afresh; bounds a worker's memory and never changes a result
-    MEMO = 600_000
+    #: bytes of a lookup before it starts afresh (with what Python needs for an entry); bounds a worker's memory and
+    #: never changes a result
+    MEMO, ENTRY = 150 << 20, 200
 
     def __init__(self, path: str):
         import regex
@@ -52,6 +53,7 @@ class WordTokenizer:
         self.visible = {b: chr(b) if b in kept else chr(next(spare)) for b in range(256)}
         self.runs: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.runs_size = self.parts_size = 0
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -61,9 +63,11 @@ class WordTokenizer:
         if (out := self.parts.get(part)) is None:
             shown = part if part.isascii() else "".join(map(self.visible.__getitem__, part.encode()))
             out = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
-            if len(self.parts) >= self.MEMO:
+            if self.parts_size > self.MEMO:
                 self.parts.clear()
+                self.parts_size = 0
             self.parts[part] = out
+            self.parts_size += self.ENTRY + 4 * len(part) + len(out)
         return out
 
     def _run(self, run: str) -> bytes:
@@ -78,10 +82,12 @@ class WordTokenizer:
         try:
             return b"".join([known[r] for r in runs])
         except KeyError:
-            if len(known) >= self.MEMO:
+            if self.runs_size > self.MEMO:
                 known.clear()
+                self.runs_size = 0
             for r in set(runs).difference(known):
                 known[r] = self._run(r)
+                self.runs_size += self.ENTRY + 4 * len(r) + len(known[r])
             return b"".join([known[r] for r in runs])
 
 

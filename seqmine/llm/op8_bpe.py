@@ -115,8 +115,9 @@ class Encoder:
     generation. Texts with such white space are split as a whole.
     """
 
-    #: entries of a lookup before it starts afresh; bounds a worker's memory and never changes a result
-    MEMO = 500_000
+    #: bytes of a lookup before it starts afresh (with what Python needs for an entry); bounds a worker's memory and
+    #: never changes a result
+    MEMO, ENTRY = 125 << 20, 200
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -131,6 +132,7 @@ class Encoder:
             self.key_at[slot] = key
         self.pieces: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.pieces_size = self.runs_size = 0
         self.whole = pattern != public_tokenizers.PATTERN  # another pattern may join runs
 
     def _learn(self, pieces: list[str]) -> None:
@@ -138,13 +140,15 @@ class Encoder:
         for piece, b, slot in zip(pieces, raw, self.hashed(raw).tolist(), strict=True):
             ids = [self.ranks[b]] if self.key_at[slot] == b else merge(b, self.ranks)
             self.pieces[piece] = b"".join([i.to_bytes(4, "little") for i in ids])
+            self.pieces_size += self.ENTRY + 4 * len(piece) + 4 * len(ids)
 
     def _split(self, texts: list[str]) -> list[bytes]:
         found, known = [self.split(t) for t in texts], self.pieces
         new = {p for f in found for p in f}.difference(known)
         if new:
-            if len(known) >= self.MEMO:
+            if self.pieces_size > self.MEMO:
                 known.clear()
+                self.pieces_size = 0
                 new = {p for f in found for p in f}
             self._learn(list(new))
         return [b"".join([known[p] for p in f]) for f in found]
@@ -158,10 +162,13 @@ class Encoder:
         try:
             return head + b"".join([known[r] for r in rest])
         except KeyError:
-            if len(known) >= self.MEMO:
+            if self.runs_size > self.MEMO:
                 known.clear()
+                self.runs_size = 0
             new = list(set(rest).difference(known))
-            known.update(zip(new, self._split([f" {r}" for r in new]), strict=True))
+            ids = self._split([f" {r}" for r in new])
+            known.update(zip(new, ids, strict=True))
+            self.runs_size += sum(self.ENTRY + 4 * len(r) + len(i) for r, i in zip(new, ids, strict=True))
             return head + b"".join([known[r] for r in rest])
 
 
