@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-sp", "--split", action="store_true", help="accepted; changes nothing")
     p.add_argument("--perFile", action="store_true", help="mine each file by itself")
     p.add_argument("--sep", default=None, help="separator of items, a regular expression; white space by default")
+    p.add_argument("--pattern", default=None, help="only files of this name, as *.txt")
     p.add_argument("--maxDocs", type=int, default=0, help="sentences: lines of each file at most")
     return p
 
@@ -48,7 +49,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     spark = SparkSession.builder.appName("seqmine").getOrCreate()
     sep = {"sep": a.sep} if a.sep else {}
     if a.command == "mine":
-        run(spark, params, a.output, a.input, a.resume, a.keepFiles, a.tempDir, **sep)
+        run(spark, params, a.output, a.input, a.resume, a.keepFiles, a.tempDir, **sep, pattern=a.pattern)
+        op.drop_tables(spark)
         return 0
     if not a.input:
         p.error("an input is needed")
@@ -57,7 +59,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         dictionary = op.dictionary(sentences)
         op.save_encoded(op.encode(op.positions(sentences), dictionary), dictionary, a.output)
         return 0
-    sequences = read_sequences(spark, a.input, **sep)
+    sequences = read_sequences(spark, a.input, **sep, pattern=a.pattern)
     if a.command == "wordcount":
         op.word_count(sequences, a.support).write.mode("overwrite").csv(a.output, sep="\t", quote="", escape="")
     else:

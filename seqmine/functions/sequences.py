@@ -34,18 +34,6 @@ def gap_between(left: Column, right: Column) -> Column:
     return right - left - 1
 
 
-def gap_positions(values: Column) -> Column:
-    """Of an array in which -n stands for n positions without an item: array<struct<pos, item>> of its items."""
-    ends = F.aggregate(
-        values,
-        F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<pos:int,item:int>>").alias("out")).cast("struct<p:int,out:array<struct<pos:int,item:int>>>"),
-        lambda s, v: F.when(v < 0, F.struct((s["p"] - v).alias("p"), s["out"].alias("out")))
-        .otherwise(F.struct((s["p"] + 1).alias("p"), F.concat(s["out"], F.array(F.struct(s["p"].alias("pos"), v.alias("item")))).alias("out")))
-        .cast("struct<p:int,out:array<struct<pos:int,item:int>>>"),
-    )
-    return ends["out"]
-
-
 def common_prefix_length(a: Column, b: Column) -> Column:
     """How many leading elements two arrays share."""
     equal = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull())
@@ -58,6 +46,24 @@ def by_length_then_items(a: Column) -> Column:
     return F.struct(F.size(a).alias("n"), a.alias("items"))
 
 
+def ordering(a: Column, kind: str = "descending") -> list[Column]:
+    """How arrays of ids sort: `descending` or `ascending` item by item, a beginning before (ascending) or after
+    (descending) what goes on, or `by_length`, shorter ones first."""
+    if kind == "descending":
+        return [a.desc()]
+    if kind == "ascending":
+        return [a.asc()]
+    if kind == "by_length":
+        return [by_length_then_items(a).asc()]
+    raise ValueError(kind)
+
+
+def partition_key(a: Column, kind: str = "complete") -> Column:
+    """What arrays of ids are dealt by: their `first` item, `first_two`, `all_but_last`, or `complete`."""
+    n = {"first": F.lit(1), "first_two": F.lit(2), "all_but_last": F.greatest(F.size(a) - 1, F.lit(0)), "complete": F.size(a)}
+    return F.slice(a, F.lit(1), n[kind])
+
+
 def array_text(a: Column) -> Column:
     """[a, b, c]"""
     return F.concat(F.lit("["), F.array_join(a.cast("array<string>"), ", "), F.lit("]"))
@@ -92,7 +98,7 @@ def delta_encode(values: Column) -> Column:
 
 
 def delta_decode(deltas: Column) -> Column:
-    """The values again."""
+    """The values again. For arrays within a row, since it takes the square of their length; posting lists are rows."""
     return F.transform(deltas, lambda _, i: F.aggregate(F.slice(deltas, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, b: a + b))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import table
+
 
 def item_counts(sequences: DataFrame) -> DataFrame:
     """(item, cf, df). sequences: (sid, items). An item is counted within its transaction before the shuffle."""
@@ -17,18 +19,14 @@ def item_counts(sequences: DataFrame) -> DataFrame:
 def with_ids(counts: DataFrame) -> DataFrame:
     """(item, cf, df, id): ids from 1 by falling cf, ties by item.
 
-    Items are ranked within groups of one frequency and one beginning, and the number of items before a group is a
-    running sum over groups, so that the many items of a low frequency are never sorted in a single task."""
-    start = [F.substring("item", k, 1).alias(f"p{k}") for k in (1, 2, 3)]
-    group = ["cf", "p1", "p2", "p3"]
-    ranked = counts.select("item", "cf", "df", *start).withColumn("k", F.row_number().over(W.partitionBy(*group).orderBy("item")))
-    sizes = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    by_cf = sizes.groupBy("cf").agg(F.sum("n").alias("m"))
-    # a row for each distinct frequency: their number grows with the square root of the corpus at most
-    above = by_cf.select("cf", F.coalesce(F.sum("m").over(W.orderBy(F.desc("cf")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    earlier = W.partitionBy("cf").orderBy("p1", "p2", "p3").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*group, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier")).join(above, "cf")
-    return ranked.join(offsets, group).select("item", "cf", "df", (F.col("above") + F.col("earlier") + F.col("k")).cast("int").alias("id"))
+    Items are sorted over all tasks and written; an id is the number of items in the tasks before and the place in its
+    own. The table of tasks has a row for each and is all that is gathered."""
+    ordered = counts.select("item", "cf", "df").repartitionByRange(F.desc("cf"), "item").sortWithinPartitions(F.desc("cf"), "item")
+    # the task's number stands above the place in it
+    placed = table(ordered.withColumn("at", F.monotonically_increasing_id()), "ranked").withColumn("task", F.shiftright("at", 33))
+    sizes = placed.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("task", F.coalesce(F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), "task").select("item", "cf", "df", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("id"))
 
 
 def dictionary(sequences: DataFrame) -> DataFrame:

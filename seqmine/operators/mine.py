@@ -2,16 +2,16 @@
 
 The working form is (sid, pos, item): positions are explicit, so items that are pruned leave their gap behind. A
 level's occurrences are (sid, end, seq); the next level extends them by the frequent items at the following
-gamma + 1 positions, found by an equi-join on (sid, pos), keeps one occurrence for each end, counts supports and
-prunes occurrences of infrequent sequences with a semi-join. Ends suffice: how a sequence got there doesn't matter
-to what may follow.
+gamma + 1 positions, keeps one occurrence for each end, counts supports and prunes occurrences of infrequent
+sequences. Ends suffice: how a sequence got there doesn't matter to what may follow. The positions are found by an
+equi-join on sid and slot, a run of gamma + 1 positions: what follows an end lies in two slots at most, so an
+occurrence is two rows of the join however large gamma is.
 
 Sequences travel as the id of their prefix and one item; the array is put together when a level is emitted.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,29 +19,11 @@ from pyspark.sql import functions as F
 
 from ..params import ALL, CLOSED, MAXIMAL, MiningParams
 from .condense import condense
+from .tables import table
 
 PATTERNS = "seq array<string>, length int, support bigint"
 
 
-def checkpoint_dir(df: DataFrame) -> str:
-    """The shared folder for intermediate tables; a temporary one only where the session names none."""
-    import tempfile
-
-    conf = df.sparkSession.conf
-    top = conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="seqmine-")
-        conf.set("spark.checkpoint.dir", top)
-    return top.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in shared storage: computed once, its lineage ends there, and no executor holds the only copy."""
-    path = f"{checkpoint_dir(df)}/seqmine-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _weighted(df: DataFrame) -> bool:
     return "weight" in df.columns
 
@@ -59,11 +41,25 @@ def frequent_single(positions: DataFrame, sigma: int, group: list[str] | None =
     return once.groupBy(*group, "item").agg(_support(once)).where(F.col("support") >= sigma)
 
 
-def next_level(occ: DataFrame, positions: DataFrame, gamma: int, keys: list[str]) -> DataFrame:
-    """Occurrences of one more item: (keys, end, pre, item), one for each end. occ: (keys, end, pat)."""
-    reach = occ.withColumn("pos", F.explode(F.sequence(F.col("end") + 1, F.col("end") + gamma + 1))).drop("end")
-    weight = ["weight"] if _weighted(positions) else []
-    return reach.join(positions, [*keys, "pos"]).select(*keys, F.col("pos").alias("end"), F.col("pat").alias("pre"), "item", *weight).dropDuplicates([*keys, "end", "pre", "item"])
+def _slotted(positions: DataFrame, gamma: int) -> DataFrame:
+    return positions.withColumn("slot", F.floor(F.col("pos") / (gamma + 1)).cast("long"))
+
+
+def _reach(gamma: int) -> Column:
+    """The slots of the positions within reach of an end."""
+    first, last = (F.floor((F.col("end") + k) / (gamma + 1)).cast("long") for k in (1, gamma + 1))
+    return F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last)))
+
+
+def next_level(occ: DataFrame, slotted: DataFrame, gamma: int, keys: list[str]) -> DataFrame:
+    """Occurrences of one more item: (keys, slot, end, pre, item), one for each end. occ: (keys, end, pat).
+
+    slot is that of the new end: with it, what the join has dealt needn't be dealt again to drop duplicates."""
+    reach = occ.withColumn("slot", _reach(gamma)).withColumnRenamed("end", "before")
+    weight = ["weight"] if _weighted(slotted) else []
+    near = (F.col("pos") > F.col("before")) & (F.col("pos") <= F.col("before") + gamma + 1)
+    found = reach.join(slotted, [*keys, "slot"]).where(near)
+    return found.select(*keys, "slot", F.col("pos").alias("end"), F.col("pat").alias("pre"), "item", *weight).dropDuplicates([*keys, "slot", "end", "pre", "item"])
 
 
 def mine_levels(positions: DataFrame, params: MiningParams, keys: list[str] | None = None) -> DataFrame:
@@ -77,18 +73,24 @@ def mine_levels(positions: DataFrame, params: MiningParams, keys: list[str] | No
         raise ValueError("the last key is sid")
     weight = ["weight"] if _weighted(positions) else []
     singles = table(frequent_single(positions, params.sigma, group).select(*group, "item", "support"), "f1")
-    kept = table(positions.join(singles.select(*group, "item"), [*group, "item"], "left_semi").select(*keys, "pos", "item", *weight), "positions")
+    kept = positions.join(singles.select(*group, "item"), [*group, "item"], "left_semi").select(*keys, "pos", "item", *weight)
+    kept = table(_slotted(kept, params.gamma), "positions")
     # pat: the id of a frequent sequence of this level, made of its prefix's id and its last item
     level = singles.select(*group, F.xxhash64(*group, F.array("item")).alias("pat"), F.array("item").alias("seq"), "support")
     found = [level.select(*group, "seq", "support")]
     occ = kept.select(*keys, F.col("pos").alias("end"), F.xxhash64(*group, F.array("item")).alias("pat"))
-    for _ in range(2, params.lam + 1):
-        cand = table(next_level(occ, kept, params.gamma, keys), "candidates")
+    for k in range(2, params.lam + 1):
+        cand = next_level(occ, kept, params.gamma, keys)
+        if k < params.lam:  # the last level's occurrences are only counted
+            cand = table(cand, "candidates")
         extra = ["weight"] if weight else []
         once = cand.select(*group, "sid", "pre", "item", *extra).dropDuplicates([*group, "sid", "pre", "item"])
         frequent = once.groupBy(*group, "pre", "item").agg(_support(once)).where(F.col("support") >= params.sigma)
         named = frequent.join(level.select(*group, F.col("pat").alias("pre"), F.col("seq").alias("head")), [*group, "pre"])
         named = named.select(*group, "pre", "item", F.concat("head", F.array("item")).alias("seq"), "support")
+        if k == params.lam:
+            found.append(named.select(*group, "seq", "support"))
+            break
         level = table(named.withColumn("pat", F.xxhash64(*group, "seq")), "level")
         if level.isEmpty():
             break
@@ -110,17 +112,22 @@ def mine(positions: DataFrame, params: MiningParams) -> DataFrame:
         every = mine_levels(positions, params)
     if params.type == ALL:
         return every.where(F.col("length") >= 2)
-    assert params.type in (MAXIMAL, CLOSED)
-    return condense(every, params.type)
+    if params.type not in (MAXIMAL, CLOSED):
+        raise ValueError(params.type)
+    return condense(table(every, "patterns"), params.type)
 
 
 def two_sequence_postings(positions: DataFrame, params: MiningParams) -> DataFrame:
-    """(seq, postings): each frequent 2-sequence with where it begins, array<struct<sid, starts>> in order of sid."""
-    left = positions.select("sid", F.col("pos").alias("start"), F.col("item").alias("a"))
-    reach = left.withColumn("pos", F.explode(F.sequence(F.col("start") + 1, F.col("start") + params.gamma + 1)))
-    pairs = reach.join(positions, ["sid", "pos"]).select("sid", F.array("a", "item").alias("seq"), "start").distinct()
-    inside = pairs.groupBy("seq", "sid").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    return inside.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("sid", "starts"))).alias("postings"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= params.sigma)
+    """(seq, support, sid, starts): for each frequent 2-sequence and each sequence it occurs in where it begins, in order.
+
+    A row for each pair: the postings of a frequent pattern are as many as the sequences and never meet in one row."""
+    left = positions.select("sid", F.col("pos").alias("end"), F.col("item").alias("a")).withColumn("slot", _reach(params.gamma))
+    right = _slotted(positions, params.gamma)
+    near = (F.col("pos") > F.col("end")) & (F.col("pos") <= F.col("end") + params.gamma + 1)
+    pairs = left.join(right, ["sid", "slot"]).where(near).select("sid", F.array("a", "item").alias("seq"), F.col("end").alias("start")).distinct()
+    inside = table(pairs.groupBy("seq", "sid").agg(F.array_sort(F.collect_set("start")).alias("starts")), "postings")
+    support = inside.groupBy("seq").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= params.sigma)
+    return inside.join(support, "seq").select("seq", "support", "sid", "starts")
 
 
 def max_support_by_left(patterns: DataFrame) -> DataFrame:

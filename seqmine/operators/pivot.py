@@ -7,20 +7,22 @@ items up to the range's end, within reach of a pivot, in segments that hold two
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import MiningParams
 from .dictionary import with_ids
 from .encode import decode, encode
+from .tables import table
 
 
 def pack_items(dictionary: DataFrame, sigma: int, budget: int) -> DataFrame:
     """(part, begin_item, end_item, total_df): next-fit over frequent items by falling id.
 
     A partition closes before the item that would exceed the budget; an item over the budget stands alone. Next-fit
-    is sequential; the f-list is walked on the driver in blocks, holding one open partition."""
+    is sequential: the driver walks the frequent items, 16 bytes each, a task's share at a time, and keeps a row for
+    each partition, of which there are less than 2 / budget of the total document frequency."""
     spark = dictionary.sparkSession
     rows, part, begin, end, total = [], 0, None, None, 0
     ordered = dictionary.where(F.col("df") >= sigma).select("id", "df").orderBy(F.desc("id"))
@@ -33,12 +35,17 @@ def pack_items(dictionary: DataFrame, sigma: int, budget: int) -> DataFrame:
         begin, total = r["id"], total + r["df"]
     if end is not None:
         rows.append((part, begin, end, total))
-    return spark.createDataFrame(rows, "part int, begin_item int, end_item int, total_df long")
+    return spark.createDataFrame(rows, "part int, begin_item long, end_item long, total_df long")
+
+
+def part_items(parts: DataFrame) -> DataFrame:
+    """(item, part, begin_item, end_item): a row for each id of a partition's range, to join by equal items."""
+    return parts.select(F.explode(F.sequence("begin_item", "end_item")).alias("item"), "part", "begin_item", "end_item")
 
 
 def item_parts(encoded: DataFrame, parts: DataFrame) -> DataFrame:
     """(part, begin_item, end_item, sid): the partitions that a sequence touches, once each."""
-    touched = encoded.join(parts, F.col("item").between(F.col("begin_item"), F.col("end_item")))
+    touched = encoded.select("sid", "item").join(part_items(parts), "item")
     return touched.select("part", "begin_item", "end_item", "sid").distinct()
 
 
@@ -69,22 +76,16 @@ def rewrite(encoded: DataFrame, parts: DataFrame, params: MiningParams) -> DataF
     return rows.where((F.col("n") >= 2) & near).select("part", "sid", "pos", "item", "is_pivot", *weight)
 
 
-def hops(is_pivot: Column, pos: Column, order: W) -> tuple[Column, Column]:
-    """Distances to the nearest pivot on the left and on the right."""
-    at = F.when(is_pivot, pos)
-    return pos - F.last(at, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.first(at, ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing)) - pos
-
-
 def pivot_offsets(encoded: DataFrame, parts: DataFrame) -> DataFrame:
     """(part, sid, first_pos, last_pos): where the pivots of a sequence begin and end in each of its partitions."""
-    rows = encoded.join(parts, F.col("item").between(F.col("begin_item"), F.col("end_item")))
+    rows = encoded.join(part_items(parts), "item")
     return rows.groupBy("part", "sid").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
 def pivot_intervals(encoded: DataFrame, parts: DataFrame, params: MiningParams) -> DataFrame:
     """(part, sid, start, stop): the neighbourhoods of pivots, overlapping ones merged."""
     reach = (params.gamma + 1) * (params.lam - 1)
-    rows = encoded.join(parts, F.col("item").between(F.col("begin_item"), F.col("end_item"))).select("part", "sid", "pos").distinct()
+    rows = encoded.join(part_items(parts), "item").select("part", "sid", "pos").distinct()
     order = W.partitionBy("part", "sid").orderBy("pos")
     rows = rows.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(order) > 2 * reach).cast("int"), F.lit(0)))
     rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
@@ -109,8 +110,9 @@ def by_partition(rewritten: DataFrame, n: int | None = None, only: int | None =
 
 def mine_pivot(positions: DataFrame, params: MiningParams) -> DataFrame:
     """(seq, length, support) of all frequent sequences of 1 to lam items, by pivot partitions."""
-    from .mine import frequent_single, mine_levels, table
+    from .mine import frequent_single, mine_levels
 
+    positions = table(positions, "positions")  # counted, listed and encoded
     counts = positions.groupBy("item", "sid").agg(F.count(F.lit(1)).alias("n")).groupBy("item").agg(F.sum("n").alias("cf"), F.count(F.lit(1)).alias("df"))
     single = frequent_single(positions, params.sigma)
     # the f-list keeps what is frequent by weight; its document frequency is the budget's unit
@@ -120,5 +122,5 @@ def mine_pivot(positions: DataFrame, params: MiningParams) -> DataFrame:
     weight = ["weight"] if "weight" in positions.columns else []
     local = mine_levels(inside.select("part", "sid", "pos", "item", *weight), params, ["part", "sid"])
     own = local.join(parts.select("part", "begin_item"), "part").where((F.col("length") >= 2) & (F.array_max("seq") >= F.col("begin_item")))
-    named = decode(own.select("seq", "length", "support"), flist).select("seq", "length", "support")
+    named = decode(table(own.select("seq", "length", "support"), "patterns"), flist).select("seq", "length", "support")
     return single.select(F.array("item").alias("seq"), F.lit(1).alias("length"), "support").unionByName(named)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.sequences import array_text, pattern_text
@@ -37,6 +39,16 @@ def save_encoded(positions: DataFrame, dictionary: DataFrame, path: str, codec:
     write_dictionary(dictionary, f"{path}/dictionary")
 
 
-def write_encoded_text(sequences: DataFrame, path: str) -> None:
+def write_encoded_text(sequences: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Lines `id<TAB>[1, 2, 3]`."""
-    sequences.select(F.concat_ws("\t", F.col("sid").cast("string"), array_text(F.col("items"))).alias("value")).write.mode("append").text(path)
+    sequences.select(F.concat_ws("\t", F.col("sid").cast("string"), array_text(F.col("items"))).alias("value")).write.mode(mode).text(path)
+
+
+def each_pattern(patterns: DataFrame, write: Callable[[list[str], int], None]) -> None:
+    """Calls write(items, support) for each pattern, on the executors and in no order: a sink of one's own."""
+
+    def work(rows: Iterator[Row]) -> None:
+        for r in rows:
+            write(r["seq"], r["support"])
+
+    patterns.select("seq", "support").foreachPartition(work)

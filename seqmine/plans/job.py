@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operators as op
 from ..functions.sequences import WHITE
 from ..operators.condense import condense
+from ..operators.tables import own_dir, table
 from ..params import ALL, MiningParams
 from ..sources.encoded import load_encoded
 from ..sources.text import read_sequences
@@ -39,15 +40,20 @@ def mine_encoded(encoded: Encoded, params: MiningParams) -> DataFrame:
     group = ["file"] if params.per_file else []
     if params.per_file:
         every = op.mine_levels(encoded.positions.select("file", "sid", "pos", "item"), params, ["file", "sid"])
-        found = every.where("length >= 2") if params.type == ALL else condense(every, params.type, group)
+        found = every.where("length >= 2") if params.type == ALL else condense(table(every, "patterns"), params.type, group)
     else:
         found = op.mine(encoded.positions.select("sid", "pos", "item"), params)
-    return op.decode(found, encoded.dictionary).select(*group, "seq", "length", "support")
+    return op.decode(table(found, "found"), encoded.dictionary).select(*group, "seq", "length", "support")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    try:
+        spark.read.option("recursiveFileLookup", True).text(path)  # looks the path up and reads nothing
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def run(
@@ -75,6 +81,7 @@ def run(
         raise ValueError("the output would replace another folder of the run")
     if temp_dir and temp_dir != "temp":
         spark.conf.set("spark.checkpoint.dir", temp_dir)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     if params.num_reducers:
         spark.conf.set("spark.sql.shuffle.partitions", params.num_reducers)
     if resume:
@@ -82,9 +89,10 @@ def run(
     else:
         encoded = encode_text(spark, input, sep, pattern)
         # encoded once, whether the caller keeps it or not: mining reads it again at each level
-        place = keep_files or f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='seqmine-')}/encoded-{spark.sparkContext.applicationId}"
+        place = keep_files or f"{own_dir(spark)}/encoded"
         encoded.save(place)
         encoded = Encoded(*load_encoded(spark, place))
     patterns = mine_encoded(encoded, params)
     op.write_patterns(patterns.orderBy(F.desc("support"), F.concat_ws(" ", "seq")), output)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     return patterns

@@ -47,7 +47,7 @@ def mining_sql(positions: str, sigma: int, gamma: int, lam: int, kind: str = "al
     return f"WITH p0 AS ({positions}), {', '.join(levels)}, every AS ({every}) SELECT array_to_string(a.seq, ' ') AS pattern, CAST(len(a.seq) AS INTEGER) AS length, CAST(a.support AS BIGINT) AS support FROM every a WHERE {keep}"
 
 
-_DICTIONARY = "SELECT item, count(*) AS cf, count(DISTINCT sid) AS df, CAST(row_number() OVER (ORDER BY count(*) DESC, item) AS INTEGER) AS id FROM p0 GROUP BY item"
+_DICTIONARY = "SELECT item, count(*) AS cf, count(DISTINCT sid) AS df, row_number() OVER (ORDER BY count(*) DESC, item) AS id FROM p0 GROUP BY item"
 
 
 def _with_dictionary(positions: str, rest: str) -> str:

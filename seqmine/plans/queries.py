@@ -130,8 +130,7 @@ def split_at_gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posting_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The postings of 2-sequences of priorities, a row for each place where one begins."""
     lists = op.two_sequence_postings(db.orders(spark, sf_dir), MiningParams(10, 0, 2))
-    rows = lists.select(pattern_text("seq").alias("pattern"), "support", F.explode("postings").alias("p"))
-    return rows.select("pattern", "support", F.col("p.sid").alias("sid"), F.explode("p.starts").alias("start")).select("pattern", "support", "sid", F.col("start").cast("long").alias("start"))
+    return lists.select(pattern_text("seq").alias("pattern"), "support", "sid", F.explode("starts").alias("start")).select("pattern", "support", "sid", F.col("start").cast("long").alias("start"))
 
 
 QUERIES: dict[str, Q] = {name: _mining(name) for name in MINING} | {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DICTIONARY = "item string, cf long, df long, id int"
+DICTIONARY = "item string, cf long, df long, id long"
 
 
 def load_encoded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -29,5 +29,5 @@ def read_encoded_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     from .text import read_lines
 
     t = read_lines(spark, paths).select(tokenize(F.trim(F.regexp_replace("value", r"[\[\],]", " "))).alias("t"))
-    rows = t.select(F.monotonically_increasing_id().alias("sid"), F.get("t", F.lit(0)).alias("seq_id"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).cast("array<int>").alias("items"))
+    rows = t.select(F.monotonically_increasing_id().alias("sid"), F.get("t", F.lit(0)).alias("seq_id"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).cast("array<long>").alias("items"))
     return rows.where(F.size("items") > 0)

@@ -11,11 +11,10 @@ from ..functions.sequences import WHITE, tokenize
 def from_table(df: DataFrame, sid: str, item: str, order_by: list[str]) -> DataFrame:
     """(sid, pos, item) of rows that are the items of sequences. One shuffle by sid, which later steps reuse.
 
-    order_by should be total, since ties are broken by the item alone. Rows without an item are dropped, rows
-    without a sid are one sequence."""
+    order_by should be total, since ties are broken by the item alone. Rows without an item or a sid are dropped."""
     from pyspark.sql import Window as W
 
-    rows = df.where(F.col(item).isNotNull())
+    rows = df.where(F.col(item).isNotNull() & F.col(sid).isNotNull())
     order = W.partitionBy(sid).orderBy(*order_by, item)
     return rows.select(F.col(sid).alias("sid"), (F.row_number().over(order) - 1).alias("pos"), F.col(item).cast("string").alias("item"))
 

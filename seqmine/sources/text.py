@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequences import WHITE, gap_positions, sequence_id, tokenize
+from ..functions.sequences import WHITE, sequence_id, tokenize
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = True, pattern: str | None = None) -> DataFrame:
@@ -46,9 +46,11 @@ def read_length_prefixed(spark: SparkSession, paths: str | list[str]) -> DataFra
 
 def read_int_sequences(spark: SparkSession, paths: str | list[str], sep: str = "\t") -> DataFrame:
     """Lines of encoded items without an id, -n for n positions of gap: (sid, pos, item)."""
-    values = read_lines(spark, paths).select(F.filter(tokenize("value", sep), lambda t: t != "").cast("array<int>").alias("items"))
-    rows = _with_sid(values, "items")
-    return rows.select("sid", F.explode(gap_positions(F.col("items"))).alias("x")).select("sid", "x.pos", "x.item")
+    values = read_lines(spark, paths).select(F.filter(tokenize("value", sep), lambda t: t != "").cast("array<long>").alias("items"))
+    rows = _with_sid(values, "items").select("sid", F.posexplode("items").alias("at", "item"))
+    before = W.partitionBy("sid").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    pos = F.coalesce(F.sum(F.when(F.col("item") < 0, -F.col("item")).otherwise(1)).over(before), F.lit(0))
+    return rows.withColumn("pos", pos).where("item >= 0").select("sid", "pos", "item")
 
 
 def numeric_ids(sequences: DataFrame) -> DataFrame:

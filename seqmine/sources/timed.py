@@ -17,9 +17,9 @@ from .text import read_lines
 def timed_positions(df: DataFrame, sid: str, ts: Column, item: str, order_by: list[str], time_scale: int = 1) -> DataFrame:
     """(sid, pos, item) of rows with times in whole units; order_by orders the items of one time.
 
-    One shuffle by sid: both windows have its partitioning. Rows without time or item are dropped."""
+    One shuffle by sid: both windows have its partitioning. Rows without sid, time or item are dropped."""
     rows = df.select(F.col(sid).alias("sid"), (F.floor(ts) * time_scale).cast("long").alias("t"), F.col(item).cast("string").alias("item"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)))
-    rows = rows.where(F.col("t").isNotNull() & F.col("item").isNotNull())
+    rows = rows.where(F.col("sid").isNotNull() & F.col("t").isNotNull() & F.col("item").isNotNull())
     inside = W.partitionBy("sid", "t").orderBy(*(f"o{i}" for i in range(len(order_by))), "item")
     by_time = W.partitionBy("sid").orderBy("t", "rank")
     rows = rows.repartition("sid").withColumns({"rank": F.row_number().over(inside), "n": F.count(F.lit(1)).over(W.partitionBy("sid", "t"))})
