@@ -118,3 +118,43 @@ ORACLES: dict[str, str] = {name: mining_sql(POSITIONS[source.__name__], sigma, g
     "posting_list": f"WITH p0 AS ({POSITIONS['orders']}), q AS (SELECT DISTINCT a.sid, a.pos AS start, a.item || ' ' || b.item AS pattern FROM p0 a JOIN p0 b ON a.sid = b.sid AND b.pos = a.pos + 1), "
     + "f AS (SELECT pattern, count(DISTINCT sid) AS support FROM q GROUP BY pattern HAVING count(DISTINCT sid) >= 10) SELECT pattern, support, sid, CAST(start AS BIGINT) AS start FROM q JOIN f USING (pattern)",
 }
+
+_EVENT_SEQUENCES = f"WITH p0 AS ({POSITIONS['events']}), q AS ({_SEQUENCES})"
+_CODED = f"WITH p0 AS ({POSITIONS['events']}), dict AS ({_DICTIONARY}), q AS (SELECT sid, list(id ORDER BY pos) AS a FROM p0 JOIN dict USING (item) GROUP BY sid)"
+_TEXT = "'[' || array_to_string({}, ', ') || ']'"
+_REWRITTEN = f"SELECT part, sid, array_to_string(list(item ORDER BY pos), ' ') AS sequence FROM ({_rewrite(0, 2)}) GROUP BY part, sid"
+_DELTAS = "list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i = 1 THEN a[1] ELSE a[i] - a[i - 1] END)"
+
+ORACLES |= {
+    "read_text_sequences": f"{_EVENT_SEQUENCES} SELECT CAST(sid AS VARCHAR) AS seq_id, sequence FROM q",
+    "read_numeric_ids": f"{_EVENT_SEQUENCES} SELECT CAST(sid AS BIGINT) AS seq_id, sequence FROM q",
+    "read_separated_sequences": f"WITH p0 AS ({POSITIONS['orders']}), q AS ({_SEQUENCES}) SELECT CAST(sid AS VARCHAR) AS seq_id, sequence FROM q",
+    "read_sentence_lines": f"SELECT array_to_string({_WORDS}, ' ') AS sequence, count(*) AS n FROM conversations WHERE len({_WORDS}) > 0 GROUP BY 1",
+    "read_first_sentences": f"SELECT array_to_string({_WORDS}, ' ') AS sequence FROM conversations WHERE len({_WORDS}) > 0 ORDER BY conv_id, turn LIMIT 10",
+    "read_length_prefixed_sequences": f"{_EVENT_SEQUENCES} SELECT CAST(sid AS BIGINT) AS seq_id, sequence FROM q",
+    "mine_timed_text": mining_sql(_TIMED, 10, 24, 3),
+    "read_integers_with_gaps": "SELECT CAST(before + gaps AS BIGINT) AS pos, CAST(ascii(event_type) AS BIGINT) AS item, count(*) AS n FROM (SELECT event_type, "
+    "row_number() OVER w - 1 AS before, sum(event_id % 3) OVER w AS gaps FROM events WHERE event_type IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id, event_type)) GROUP BY 1, 2",
+    "read_encoded_lines": f"{_CODED} SELECT CAST(sid AS VARCHAR) AS seq_id, array_to_string(a, ' ') AS sequence FROM q",
+    "dictionary_file": f"WITH p0 AS ({POSITIONS['documents']}) SELECT item, df, id FROM ({_DICTIONARY}) WHERE df >= 5 AND cf >= 10",
+    "dictionary_sorted_file": "SELECT * FROM (SELECT item, lag(item) OVER (ORDER BY item) AS before FROM (SELECT DISTINCT event_type AS item FROM events WHERE event_type IS NOT NULL)) WHERE before IS NOT NULL",
+    "dictionary_lookup": f"WITH p0 AS ({POSITIONS['events']}) SELECT * FROM ({_DICTIONARY}) WHERE id = 1 OR item = 'click'",
+    "encoded_file": f"SELECT sid, CAST(pos AS BIGINT) AS pos, item AS name FROM ({POSITIONS['events']})",
+    "pattern_lines": f"SELECT pattern, support FROM ({mining_sql(POSITIONS['events'], 10, 1, 3)})",
+    "pattern_file": mining_sql(POSITIONS["events"], 10, 1, 3),
+    "resumed_run": f"SELECT pattern, support FROM ({mining_sql(POSITIONS['events'], 10, 1, 3, 'closed')})",
+    "mine_each_file": " UNION ALL ".join(
+        f"SELECT 'users{k}' AS users, pattern, support FROM ({mining_sql('SELECT * FROM (' + POSITIONS['events'] + f') WHERE sid % 2 = {k}', 5, 1, 3, 'maximal')})" for k in (0, 1)
+    ),
+    "pivot_sequences_events": _REWRITTEN,
+    "pivot_one_partition_events": f"SELECT * FROM ({_REWRITTEN}) WHERE part = 0",
+    "array_functions": f"{_CODED} SELECT a.sid, CAST(coalesce(list_position(list_transform(range(1, least(len(a.a), len(b.a)) + 1), lambda i: a.a[i] = b.a[i]), false) - 1, least(len(a.a), len(b.a))) AS BIGINT) AS prefix, "
+    + f"{_TEXT.format('a.a')} AS said, {_TEXT.format(_DELTAS.replace('len(a)', 'len(a.a)').replace('a[', 'a.a['))} AS deltas, true AS decoded, list_max(a.a) AS pivot, "
+    + "len(list_filter(a.a, lambda x: x BETWEEN 3 AND 4)) > 0 AS rare, CAST(len(a.a) * 4294967296 + len(b.a) AS BIGINT) AS pair, CAST(len(a.a) + len(b.a) AS BIGINT) AS pair_sum, "
+    + "len(a.a) < len(b.a) OR (len(a.a) = len(b.a) AND a.a < b.a) AS before_other, CAST(CASE WHEN a.a = b.a THEN 1 ELSE 2 END AS BIGINT) AS segments, a.a = b.a AS same_hash, "
+    + "CAST(2 * least(2, len(a.a)) AS BIGINT) AS n_ends FROM q a JOIN q b ON b.sid = a.sid + 1",
+    "array_orders": f"{_CODED} SELECT sid, row_number() OVER (PARTITION BY a[1] ORDER BY a DESC, sid) AS descending, row_number() OVER (PARTITION BY a[1] ORDER BY a, sid) AS ascending, "
+    + f"row_number() OVER (PARTITION BY a[1] ORDER BY len(a), a, sid) AS by_length, {_TEXT.format('a[1:2]')} AS first_two, {_TEXT.format('a[1:len(a) - 1]')} AS all_but_last, {_TEXT.format('a')} AS complete FROM q",
+    "gap_lengths": f"WITH p0 AS ({POSITIONS['documents']}), dict AS ({_DICTIONARY}), f AS (SELECT sid, pos FROM p0 JOIN dict USING (item) WHERE df >= 20), "
+    + "g AS (SELECT pos - lag(pos) OVER (PARTITION BY sid ORDER BY pos) - 1 AS gap FROM f) SELECT CAST(gap AS BIGINT) AS gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY gap",
+}

@@ -12,6 +12,7 @@ from ..functions.sequences import pattern_text
 from ..params import CLOSED, MAXIMAL, PIVOT, MiningParams
 from ..sources.timed import timed_positions
 from . import databases as db
+from . import roundtrips
 
 #: name: (database, sigma, gamma, lam, type)
 MINING = {
@@ -140,4 +141,4 @@ QUERIES: dict[str, Q] = {name: _mining(name) for name in MINING} | {
         translate_roundtrip, pivot_partitions, pivot_rewrite_events, pivot_offsets_events, pivot_intervals_events, weighted_dedup,
         total_support, stats_length, stats_distinct_items, max_pattern_by_item, split_at_gap_segments, posting_list,
     )
-}
+} | roundtrips.QUERIES

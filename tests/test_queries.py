@@ -1,11 +1,12 @@
 import duckdb
 import pytest
 
+from seqmine.plans import roundtrips
 from seqmine.plans.oracles import ORACLES
 from seqmine.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["mine_all_events", "mine_closed_orders", "mine_timed_events", "dictionary_documents", "pivot_partitions", "pivot_rewrite_events", "split_at_gap_segments", "posting_list", "weighted_dedup"]
+FAST = ["mine_all_events", "mine_closed_orders", "mine_timed_events", "dictionary_documents", "pivot_partitions", "pivot_rewrite_events", "split_at_gap_segments", "posting_list", "weighted_dedup", *roundtrips.QUERIES]
 
 
 @pytest.mark.parametrize("name", FAST)
