@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,40 +74,46 @@ def weak_parts(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class _Reached:
+    """Spans by their starts, with the furthest end so far: whether one reaches somewhere takes a search."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def furthest(self, before: int) -> int:
+        """The greatest end of the spans that start before; -1 for none."""
+        i = bisect_left(self.starts, before)
+        return self.ends[i - 1] if i else -1
+
+
 def linked(text: str, strong: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], reach: int) -> list[tuple[int, int, str]]:
     """The weak candidates whose complement occurs within reach and in their scope."""
     if not weak or len({ROLE[k] for _, _, k in strong} | {k for _, _, k in weak}) < 2:
         return []
     cuts = [m.start() for m in _SCOPE.finditer(text)]
-    taken = sorted((a, b) for a, b, _ in strong)
-    starts = [a for a, _ in taken]
-    longest = max((b - a for a, b in taken), default=0)
-
-    def inside(a: int, b: int) -> bool:
-        i = bisect_left(starts, a + 1)
-        while (i := i - 1) >= 0 and starts[i] > a - longest:
-            if taken[i][1] >= b:
-                return True
-        return False
-
-    weak = [w for w in weak if not inside(w[0], w[1])]
-    by_role: dict[str, list[tuple[int, int, bool]]] = {}
-    for a, b, kind in sorted(strong + weak):
-        by_role.setdefault(ROLE[kind], []).append((a, b, kind in STRONG))
-    begins = {role: [a for a, *_ in x] for role, x in by_role.items()}
-    widest = {role: max(b - a for a, b, _ in x) for role, x in by_role.items()}
+    taken = _Reached((a, b) for a, b, _ in strong)
+    weak = [w for w in weak if taken.furthest(w[0] + 1) < w[1]]
+    sure = {role: _Reached((a, b) for a, b, k in strong if ROLE[k] == role) for role in ("identifier", "secret")}
+    starts: dict[str, list[int]] = {}
+    ends: dict[str, list[int]] = {}
+    for a, b, kind in weak:
+        starts.setdefault(ROLE[kind], []).append(a)
+        ends.setdefault(ROLE[kind], []).append(b)
+    for x in (*starts.values(), *ends.values()):
+        x.sort()
 
     def completed(a: int, b: int, kind: str) -> bool:
         scope = bisect_left(cuts, a)
         low = max(a - reach, cuts[scope - 1] if scope else 0)
         high = min(b + reach, cuts[scope] if scope < len(cuts) else len(text))
         for role in NEEDS[kind]:
-            if role not in by_role:
-                continue
-            i = bisect_left(begins[role], high)
-            while (i := i - 1) >= 0 and begins[role][i] > low - widest[role]:
-                x, y, sure = by_role[role][i]
-                if y > low and (sure or y <= a or x >= b):
+            if role in sure and sure[role].furthest(high) > low:
+                return True
+            if role in starts:  # a weak one only beside the candidate: it begins from b on, or ends by a
+                i, j = bisect_left(starts[role], b), bisect_right(ends[role], low)
+                if (i < len(starts[role]) and starts[role][i] < high) or (j < len(ends[role]) and ends[role][j] <= a):
                     return True
         return False
 
