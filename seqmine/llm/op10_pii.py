@@ -43,14 +43,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
-def feistel(values: Column, radix: Column | int, key: str, tweak: Column, rounds: int = 10) -> Column:
-    """A keyed permutation of the arrays of this length (64 values at most, each from 0 to radix - 1)."""
-    assert rounds % 2 == 0
+def feistel(values: Column, radix: Column | int, key: Column, tweak: Column, rounds: int = 10) -> Column:
+    """A keyed permutation of the arrays of this length (64 values at most, each from 0 to radix - 1). Of a single
+    value, whose other half is empty, it is a keyed shift."""
+    if rounds % 2:
+        raise ValueError("the halves only change places again after an even number of rounds")
     kind = "struct<a:array<int>,b:array<int>>"
     radix = F.lit(radix) if isinstance(radix, int) else radix
 
     def turn(s: Column, i: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), F.concat_ws(",", s["b"].cast("array<string>"))), 512)
+        digest = F.sha2(F.concat_ws("|", key, tweak, i.cast("string"), F.concat_ws(",", s["b"].cast("array<string>"))), 512)
         moved = _let(digest, lambda d: F.transform(s["a"], lambda x, j: F.pmod(x + F.conv(F.substring(d, j * 4 + 1, F.lit(4)), 16, 10).cast("int"), radix)))
         return F.struct(s["b"].alias("a"), moved.alias("b")).cast(kind)
 
@@ -93,7 +95,7 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(chars, F.lit(0), lambda a, c: F.pmod(a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + (F.instr(F.lit(ALPHABET), c) - 1), F.lit(97)))
 
 
-def _card(tok: Column, key: str) -> Column:
+def _card(tok: Column, key: Column) -> Column:
     def new(d: Column) -> Column:
         payload = F.slice(d, F.lit(1), F.size(d) - 1)
         mixed = _let(feistel(payload, 10, key, F.lit("card")), lambda p: F.concat(p, F.array(luhn_check(p))))
@@ -103,7 +105,7 @@ def _card(tok: Column, key: str) -> Column:
     return _let(_digits(tok), new)
 
 
-def _ssn(tok: Column, key: str) -> Column:
+def _ssn(tok: Column, key: Column) -> Column:
     part = [F.get(F.split(tok, "-"), F.lit(k)).cast("int") for k in range(3)]
     fine = (part[0] > 0) & (part[0] != 666) & (part[0] < 900) & (part[1] > 0) & (part[2] > 0)
     # area 1..899 without 666 counts 898; two numbers of 88,902 and 9,999 values
@@ -117,12 +119,12 @@ def _ssn(tok: Column, key: str) -> Column:
     return F.when(fine, _let(_pair(high, part[2] - 1, 898 * 99, 9999, key, F.lit("ssn")), say))
 
 
-def _pair(a: Column, b: Column, size_a: int, size_b: int, key: str, tweak: Column, rounds: int = 5) -> Column:
+def _pair(a: Column, b: Column, size_a: int, size_b: int, key: Column, tweak: Column, rounds: int = 5) -> Column:
     """A keyed permutation of the pairs: a moves by a function of b, then b by one of a, again and again."""
     kind = "struct<a:int,b:int>"
 
     def by(i: Column, side: str, x: Column, size: int) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), F.lit(side), x.cast("string")), 256)
+        digest = F.sha2(F.concat_ws("|", key, tweak, i.cast("string"), F.lit(side), x.cast("string")), 256)
         return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.lit(size)).cast("int")
 
     def turn(s: Column, i: Column) -> Column:
@@ -132,28 +134,28 @@ def _pair(a: Column, b: Column, size_a: int, size_b: int, key: str, tweak: Colum
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")).cast(kind), turn)
 
 
-def _ip(tok: Column, key: str) -> Column:
+def _ip(tok: Column, key: Column) -> Column:
     def new(v: Column) -> Column:
         return F.when(F.forall(v, lambda x: x < 256), F.array_join(feistel(v, 256, key, F.lit("ip")).cast("array<string>"), "."))
 
     return _let(F.transform(F.split(tok, r"\."), lambda x: x.cast("int")), new)
 
 
-def _phone(tok: Column, key: str) -> Column:
+def _phone(tok: Column, key: Column) -> Column:
     # the country code stays; what follows is permuted
     code = F.regexp_extract(tok, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     rest = F.substring(tok, F.length(code) + 1, F.length(tok))
     return _let(_digits(rest), lambda d: F.when(F.size(d).between(7, 15), F.concat(code, _refill(rest, feistel(d, 10, key, F.concat(F.lit("phone"), code)), DIGITS, "0-9"))))
 
 
-def _email(tok: Column, key: str) -> Column:
+def _email(tok: Column, key: Column) -> Column:
     local, domain = F.substring_index(tok, "@", 1), F.substring_index(tok, "@", -1)
     values = F.transform(F.filter(F.split(local, ""), lambda c: c.rlike("[0-9A-Za-z]")), lambda c: (F.instr(F.lit(ALPHABET), c) - 1).cast("int"))
     mixed = feistel(values, len(ALPHABET), key, F.concat(F.lit("email"), F.lower(domain)))
     return F.concat(_refill(local, mixed, ALPHABET, "0-9A-Za-z"), F.lit("@"), domain)
 
 
-def _iban(tok: Column, key: str) -> Column:
+def _iban(tok: Column, key: Column) -> Column:
     plain = F.regexp_replace(tok, " ", "")
     country, bban = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
 
@@ -168,7 +170,7 @@ def _iban(tok: Column, key: str) -> Column:
     return F.when(fine, _let(_refill(bban, feistel(_digits(bban), 10, key, F.concat(F.lit("iban"), country)), DIGITS, "0-9"), new))
 
 
-def _date(tok: Column, key: str) -> Column:
+def _date(tok: Column, key: Column) -> Column:
     mark = F.regexp_extract(tok, r"^[0-9]+([./-])", 1)
     parts = F.split(tok, r"[./-]")
     n = [F.get(parts, F.lit(k)).cast("int") for k in range(3)]
@@ -200,7 +202,7 @@ def _date(tok: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonym(tok: Column, key: str) -> Column:
+def pseudonym(tok: Column, key: Column) -> Column:
     """struct<kind, new>: of the first kind whose form the whole token has and whose validation it passes; else nulls."""
     out = F.lit(None).cast("struct<kind:string,new:string>")
     for kind in reversed(KINDS):
@@ -212,10 +214,11 @@ def pseudonym(tok: Column, key: str) -> Column:
 
 def protect(df: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
     """df with pseudonyms in its text, and with n_<kind> counts of what was replaced if asked for."""
+    secret = df.sparkSession.createDataFrame([(key,)], "p_key string").scalar()  # a subquery: plans and logs don't show it
     text = F.col(f"`{text_col}`").cast("string")
     hit = text.rlike("[0-9@]") & text.rlike(PATTERN)
-    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("p_row"), text.alias("p_text"), F.when(hit, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("p_found"))
-    row = row.withColumn("p_new", F.transform("p_found", lambda t: pseudonym(t, key)))
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("p_row"), text.alias("p_text"), F.when(hit, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("p_found"), secret.alias("p_key"))
+    row = row.withColumn("p_new", F.transform("p_found", lambda t: pseudonym(t, F.col("p_key"))))
     # what stands between the values, and the values, in turn
     gaps = F.split("p_text", PATTERN)
     joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("p_new", i)["new"], F.get("p_found", i), F.lit("")))), "")
