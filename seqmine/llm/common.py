@@ -30,17 +30,21 @@ def remainder(doc_id: Column, k: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that spark.checkpoint.dir names, which driver and executors share, with a part for each application.
+    Only a local session may go without: it gets a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="seqmine-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return top.rstrip("/")
+    return f"{top.rstrip('/')}/seqmine-{spark.conf.get('spark.app.id')}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/seqmine-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

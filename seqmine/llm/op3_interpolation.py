@@ -13,7 +13,8 @@ it asked. Blocks with their answers score their documents; nothing is broadcast
 bigrams enter EM as a table of cells (bucket and the two ratios to the uniform estimate in steps of a sixteenth of
 a factor of two), whose size doesn't depend on the corpus.
 
-Words are told apart by 64 bits of hash and bigrams by 48.
+Words are told apart by 64 bits of hash and bigrams by 48: of n distinct words one in 2^64 / n shares its hash with
+another, of n distinct bigrams one in 2^48 / n (one in 300 of 10^12), whose counts are then added up.
 
 Defined results: a null text is an empty one, whose only token is the end; null ids count as training documents of
 the empty id's remainder; repeated rows are counted and scored each; without training documents the uniform
@@ -284,7 +285,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     bits = max(LEAST_SHARDS, -(-size // SHARD) * 2 - 1).bit_length() - 1
     asked = docs.mapInArrow(_asked(bits), "shard int, block long, words binary, word_n binary, pairs binary, pair_n binary")
     answers = stored(asked.groupBy("shard").applyInArrow(_answer, _ANSWERS), "counts")
-    types, tokens, held = (answers.agg(*(F.sum(c) for c in ("types", "tokens", "held_tokens"))).first()[i] or 0 for i in range(3))
+    types, tokens, held = (n or 0 for n in answers.agg(*(F.sum(c) for c in ("types", "tokens", "held_tokens"))).first())
     deleted = F.col("block") % 2 == 1
     cells = docs.where(deleted).groupBy("block").cogroup(answers.where(deleted).groupBy("block")).applyInArrow(_cells(tokens, held, types), "cell long, n long")
     table = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # a bounded number of cells

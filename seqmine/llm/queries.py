@@ -16,6 +16,7 @@ from .op2_secrets import scan
 from .op5_fingerprints import compare_edits
 from .op7_simhash import near_duplicates
 from .op8_bpe import decode, encode
+from .oracles import ORACLE_SQL
 
 #: of the pseudonyms here; a real run passes a secret one
 KEY = "a key for synthetic tables"
@@ -90,6 +91,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protect(documents(spark, sf_dir).select("doc_id", "text"), KEY)
 
 
+__all__ = ["KEY", "ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -102,5 +105,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
-
-ORACLE_SQL: dict[str, str] = {}

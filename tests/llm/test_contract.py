@@ -259,15 +259,17 @@ def test_toxicity_columns(spark, case):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
 
 
-def test_quality_sql(spark):
+def test_quality_sql(spark, case):
     import duckdb
 
     from seqmine.llm.queries import ORACLE_SQL
 
+    assert "op4_quality" in ORACLE_SQL
+    path, _ = case
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet{'' if path == DATA else '/*.parquet'}'")
     for name, sql in ORACLE_SQL.items():
-        df = QUERIES[name](spark, DATA)
+        df = QUERIES[name](spark, path)
         columns, want = sorted(df.columns), con.sql(sql)
         assert columns == sorted(want.columns)
         assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == sorted(repr(r) for r in want.select(*columns).fetchall())

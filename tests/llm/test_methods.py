@@ -35,7 +35,7 @@ def test_quality_verdicts(spark):
         (4, " ".join(f"{w.upper()}{i}" for i in range(150) for w in ("qxz", "vvk"))),
     ]
     verdict = {r["doc_id"]: r["kept"] for r in assess(spark.createDataFrame(own, "doc_id long, text string")).collect()}
-    assert verdict == {1: False, 2: False, 3: True, 4: False} or verdict == {1: True, 2: False, 3: True, 4: False}
+    assert verdict == {1: False, 2: False, 3: True, 4: False}  # the first repeats its windows
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
     got = assess(rows).join(labels, "doc_id").where("quality IS NOT NULL AND NOT base_failed").collect()
     good, bad = ([r["kept"] for r in got if r["quality"] == q] for q in (1, 0))
@@ -168,6 +168,7 @@ def test_pseudonyms(spark):
     assert {k: got[0][f"n_{k}"] for k in ("card", "date", "phone", "email", "ip", "ssn", "iban")} == {"card": 2, "date": 1, "phone": 1, "email": 1, "ip": 1, "ssn": 0, "iban": 0}
     assert got[1]["n_ssn"] == got[1]["n_iban"] == 1
     assert [got[i]["text"] for i in (2, 3, 4, 5)] == texts[2:]
+    assert "a key of its own" not in protect(df, "a key of its own")._jdf.queryExecution().toString()
     other = {r["doc_id"]: r["text"] for r in protect(df, "another").collect()}
     assert other[0] != a and "@example.org" in other[0]
 

@@ -1,7 +1,5 @@
 """The corpus pipeline: each stage on its own input, and the whole."""
 
-import zlib
-
 import corpus_pipeline
 import pytest
 from conftest import CLASHING, DATA
@@ -41,11 +39,13 @@ def test_each_stage_on_its_input(spark):
     assert private.columns == COLUMNS and private.count() == left.count()
     assert private.where("n_chars != length(text)").count() == 0
     changed = private.join(left.select("doc_id", F.col("text").alias("before")), "doc_id").where("text != before")
-    assert 0 < changed.count() < left.count() and changed.where(r"regexp_replace(text, '[0-9A-Za-z]', '') != regexp_replace(before, '[0-9A-Za-z]', '')").count() <= changed.count()
+    # digits and letters are replaced at their places; only octets and dates without leading zeros change their lengths
+    kept = r"regexp_replace({}, '[0-9A-Za-z]+', 'x')"
+    assert 0 < changed.count() < left.count() and changed.where(f"{kept.format('text')} != {kept.format('before')}").count() == 0
     pieces = stages.packing(private).collect()
     total = {r["doc_id"]: r["doc_tokens"] for r in pieces}
     assert len(total) == left.count() and sum(r["length"] for r in pieces) == sum(total.values())
-    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) >= 0 for r in pieces)
+    assert all(len(r["ids"]) == 4 * r["length"] for r in pieces)
 
 
 def test_near_copies_go_and_others_stay(spark):
