@@ -117,3 +117,50 @@ def test_rewrite_keeps_pivot_patterns(spark):
             return {tuple(r["seq"]) for r in op.mine_levels(rows, p).where("length > 1").collect() if 6 <= max(r["seq"]) <= 8}
 
         assert pivots(op.rewrite(raw, parts, p).select("sid", "pos", "item")) == pivots(raw.where("item <= 8"))
+
+
+def test_rows_without_a_sequence_are_dropped(spark):
+    from seqmine.sources import from_table, timed_positions
+
+    rows = spark.createDataFrame([(1, 5, "a"), (None, 6, "b"), (1, 7, None), (1, None, "c")], "sid long, t long, item string")
+    assert sorted((r["sid"], r["pos"], r["item"]) for r in from_table(rows, "sid", "item", ["t"]).collect()) == [(1, 0, "c"), (1, 1, "a")]
+    assert [tuple(r) for r in timed_positions(rows, "sid", F.col("t"), "item", []).collect()] == [(1, 0, "a")]
+
+
+def test_dictionary_orders_ties_over_many_tasks(spark):
+    words = [f"w{i % 700:03d}" for i in range(2000)]
+    rows = spark.createDataFrame([(i, [w, w] if i < 300 else [w]) for i, w in enumerate(words)], "sid long, items array<string>").repartition(5)
+    got = [(r["item"], r["id"]) for r in op.dictionary(rows).orderBy("id").collect()]
+    counts = {}
+    for i, w in enumerate(words):
+        counts[w] = counts.get(w, 0) + (2 if i < 300 else 1)
+    assert got == [(w, k) for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w)), 1)]
+
+
+def test_posting_rows(spark):
+    rows = spark.createDataFrame([(1, "a b a b".split()), (2, "a x b".split()), (3, ["b"])], "sid long, items array<string>")
+    got = {(tuple(r["seq"]), r["support"], r["sid"], tuple(r["starts"])) for r in op.two_sequence_postings(op.positions(rows), MiningParams(2, 1, 2)).collect()}
+    assert got == {(("a", "b"), 2, 1, (0, 2)), (("a", "b"), 2, 2, (0,))}
+
+
+def test_own_sink_and_dropped_tables(spark, tmp_path):
+    from seqmine.operators.tables import own_dir
+
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"])], "sid long, items array<string>")
+    place = str(tmp_path)
+
+    def write(items, support):
+        with open(f"{place}/{'-'.join(items)}", "w") as f:
+            f.write(str(support))
+
+    op.each_pattern(op.mine(op.positions(rows), MiningParams(2, 0, 2)), write)
+    assert (tmp_path / "a-b").read_text() == "2"
+    kept = op.table(rows, "kept")
+    assert kept.count() == 2 and own_dir(spark) in kept.inputFiles()[0]
+
+
+def test_large_gaps_are_two_rows(spark):
+    """Times in seconds with a gap of a day: the plan has no row for each second."""
+    rows = spark.createDataFrame([(s, s * 7 + k * 80_000, x) for s in range(4) for k, x in enumerate("abc")], "sid long, pos long, item string")
+    got = {" ".join(r["seq"]): r["support"] for r in op.mine(rows, MiningParams(4, 86_399, 3)).collect()}
+    assert got == {"a b": 4, "b c": 4, "a b c": 4}
