@@ -44,6 +44,7 @@ def _letters() -> np.ndarray:
     return out
 
 
+@np.errstate(over="ignore")
 def ngrams(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For each order 1 to 3 the buckets of all texts' n-grams and where each text's begin; whether each has a letter."""
     sizes = np.array([len(t) + 2 if t else 2 for t in texts])
@@ -62,6 +63,10 @@ def ngrams(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray],
     one = c[:n] * _MUL[0]
     two = one ^ (c[1 : n + 1] * _MUL[1] + np.uint32(77))
     three = two * _MUL[2] ^ (c[2 : n + 2] * _MUL[0] + np.uint32(1777))
+    # n-grams that begin at a text's marks don't look at the next text
+    last = np.append(starts[1:], n) - 1
+    two[last] = np.uint32(77)
+    three[last] = three[last - 1] = np.uint32(77) * _MUL[2] ^ np.uint32(1777)
     mixed = [(x ^ (x >> np.uint32(15))) * _MUL[1] >> shift for x in (one, two, three)]
     return mixed, [starts] * 3, lettered
 
