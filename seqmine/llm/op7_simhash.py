@@ -109,7 +109,7 @@ _BLOCK, CROWD = 1024, 256
 
 
 def link(home: np.ndarray, far: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links that a key shows: home-home and home-far pairs within the radius."""
+    """A spanning forest of the links that a key shows: home-home and home-far pairs within the radius, of each block the nearest first."""
     every = np.concatenate([home, far])
     forest, out = _Forest(len(every)), []
 
@@ -121,11 +121,13 @@ def link(home: np.ndarray, far: np.ndarray, radius: int) -> list[tuple[int, int]
     unsigned = every.view(np.uint64)  # bits of a signed number would be those of its absolute value
     for a in range(0, len(home), _BLOCK):
         for b in range(a, len(every), _BLOCK):
-            near = np.bitwise_count(unsigned[a : min(a + _BLOCK, len(home)), None] ^ unsigned[None, b : b + _BLOCK]) <= radius
+            differ = np.bitwise_count(unsigned[a : min(a + _BLOCK, len(home)), None] ^ unsigned[None, b : b + _BLOCK])
+            near = differ <= radius
             if b == a:
                 near &= ~np.tri(*near.shape, dtype=bool)
             i, j = np.nonzero(near)
-            take(i + a, j + b)
+            order = np.argsort(differ[i, j], kind="stable")
+            take(i[order] + a, j[order] + b)
     return out
 
 
@@ -191,8 +193,9 @@ def _crowded(nodes: DataFrame, crowd: int) -> DataFrame:
     return many.select("half", "key", F.explode(walked).alias("step")).select("half", F.col("key").bitwiseXOR(F.col("step")).alias("key")).distinct()
 
 
-def links(nodes: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFrame:
-    """(a, b), a < b: links between distinct fingerprints that connect all within the radius. nodes: one column fp."""
+def links(nodes: DataFrame, radius: int = 3, crowd: int = CROWD, reach: int | None = None) -> DataFrame:
+    """(a, b), a < b: links between distinct fingerprints that connect all within the radius. nodes: one column fp. With
+    reach, fingerprints that meet in a ball link up to so many bits; those beyond the radius don't all meet."""
     if not 0 <= radius <= 3:
         raise ValueError("a half may differ in one bit: three bits at most")
     kind = "half byte, key long, far byte, fp long"
@@ -202,7 +205,7 @@ def links(nodes: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFrame:
         inside = keyed.join(split, ["half", "key"], "left_semi").select("half", "key", "far", "fp").mapInArrow(_quarters, kind)
         keyed = keyed.join(split, ["half", "key"], "left_anti").select("half", "key", "far", "fp").unionAll(inside)
     dealt = keyed.repartition("half", "key").sortWithinPartitions("half", "key", "far", "fp")
-    return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
+    return dealt.mapInArrow(_links(radius if reach is None else max(radius, reach)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

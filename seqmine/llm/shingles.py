@@ -1,21 +1,27 @@
-"""Near-duplicates by sets of word shingles: all pairs with a Jaccard similarity of 0.8 or more, none by chance.
+"""Near-duplicates by operator 7 over five-word shingles, completed to all pairs with a Jaccard similarity of 0.8 or more.
+
+Each set has operator 7's SimHash fingerprint, of ``WORDS`` words of 64 bits. By each word, its halves emit their balls,
+equal variants meet, and those that differ in ``REACH`` bits of the word at most are candidates, by a spanning forest.
+Words three bits apart always meet. Similarity 0.8 means about ten differing bits of each word, of which balls find a
+part only; so what they leave is found exactly, by prefixes.
 
 Two sets of n and m shingles reach 0.8 only if they share at least four fifths of the larger, so in any common
 order of all shingles they share one among the first n - ceil(0.8 n) + 1 of each (the prefix). Shingles that a
 sample of documents shows to be common come last, the others by their hashes; the sample decides only how many
 rows meet, never the result. Prefixes are sorted by shingle over all tasks, a shingle's rows over as many as they
-fill, and rows that meet are compared in two rounds. The first takes pairs linear in the rows: neighbours in the order,
-and each row with its shingle's hub, the row with the most shingles left. Copies that were edited here and there have
-shingles of their own before those they share, and what they were copied from has none: it is the hub that joins them.
+fill, and rows that meet are compared in two rounds. The first takes the balls' candidates and pairs linear in the rows:
+neighbours in the order, and each row with its shingle's hub, the row with the most shingles left. Copies that were
+edited here and there have shingles of their own before those they share, and what they were copied from has none: it is
+the hub that joins them.
 The second takes what is left between different components, by shingle and by the sizes that the other set may have:
 sets outside a shingle's commonest component look for those in it and for each other, so that a large group costs its
 size times the sets outside. A pair is left out at a shingle that isn't the first it shares, as far as the first ``HEAD``
 of each set tell.
 
-Operator 7's fingerprints decide which of these pairs are worth a comparison: each set has one of ``WORDS`` * 64 bits,
-and similarity 0.8 means about 39 differing bits of 256, with a standard deviation of 6. Pairs that differ in more than
-``FAR`` bits (seven deviations) share a passage at most and go; sets too small for a vote of many (``SMALL``) always
-stay. What is left is verified on whole sets, the only ones that are shuffled.
+The fingerprints also decide which of all these pairs are worth a comparison: similarity 0.8 means about 39 differing
+bits of 256, with a standard deviation of 6. Pairs that differ in more than ``FAR`` bits (seven deviations) share a
+passage at most and go; sets too small for a vote of many (``SMALL``) always stay. What is left is verified on whole
+sets, the only ones that are shuffled.
 
 Groups are the connected components of these pairs. Words are those of `op7_simhash` (ASCII white space, ASCII
 lower case); a text of at most ``WIDTH`` words is one shingle. Shingles and sets are told apart by 64-bit hashes,
@@ -29,6 +35,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_slices
-from .op7_simhash import components
+from .op7_simhash import components, links
 
 WIDTH = 5
 #: documents whose shingles are counted, from how many of them on one is common, and how many of these are ranked
@@ -52,6 +59,8 @@ MOST_SEEN = 500_000
 _FILTER = 1 << 22
 #: 64-bit words of a fingerprint, the differing bits beyond which a pair isn't compared, and sets that always are
 WORDS, FAR, SMALL = 4, 84, 16
+#: differing bits of a word up to which sets that meet in a ball are candidates: few others are as near by chance
+REACH = 12
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -180,6 +189,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, whole: DataFrame) -> DataFrame
     return stored(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "similar")
 
 
+def _balls(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: sets that operator 7's balls bring together, by each word of the fingerprints; equal words by the smallest set."""
+    found = []
+    for w in range(WORDS):
+        word = F.conv(F.hex(F.substring("print", 8 * w + 1, 8)), 16, -10).cast("long").alias("fp")
+        firsts = stored(nodes.groupBy(word).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "words")
+        x, y = (firsts.select(F.col("fp").alias(n), F.col("first").alias(f"first_{n}")) for n in "ab")
+        near = links(firsts.select("fp"), reach=REACH).join(x, "a").join(y, "b").select("first_a", "first_b")
+        equal = nodes.select(word, "node").join(firsts.where("n > 1"), "fp").select("first", "node")
+        found.append(stored(near.unionAll(equal).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b"), "balls"))
+    return reduce(DataFrame.unionAll, found)
+
+
 def _links(whole: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of the nodes that have a similar one."""
     keys = docs.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", F.shiftleft("size", 32).bitwiseOR(F.col("size") - F.col("at") - 1).alias("place"), "node")
@@ -189,7 +211,8 @@ def _links(whole: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     able = "5 * least(size, hub.size) >= 4 * greatest(size, hub.size) AND 9 * (1 + least(rest, hub.rest)) >= 4 * (size + hub.size)"
     spokes = met.join(met.groupBy("key").agg(hub), "key").where(able).select("node", F.col("hub.node").alias("prev"))
     linear = met.where("prev IS NOT NULL").select("node", "prev").unionAll(spokes)
-    first = _verified(linear.select(F.least("prev", "node").alias("a"), F.greatest("prev", "node").alias("b")), nodes, whole)
+    linear = linear.select(F.least("prev", "node").alias("a"), F.greatest("prev", "node").alias("b"))
+    first = _verified(linear.unionAll(_balls(nodes)), nodes, whole)
     place = (F.col("size") - F.col("rest") - 1).cast("int")  # of the key in the set's order
     rooted = met.select("key", "size", "node", "rest").join(components(first), "node", "left").join(nodes.select("node", "head"), "node")
     rooted = rooted.select("key", "size", "node", "rest", F.coalesce("root", "node").alias("root"), place.alias("place"), F.slice("head", F.lit(1), F.least(F.size("head"), place)).alias("before"))

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from conftest import CLASHING
 from pyspark.sql import functions as F
@@ -57,3 +58,33 @@ def test_stage_finds_all_pairs_around_the_limit(spark, monkeypatch, sample):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in CLASHING})
     out = corpus_pipeline.near_dedup(spark, docs, "")
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == stay(rows)
+
+
+def test_stage_links_by_balls(spark, monkeypatch):
+    """With no prefix that meets another, operator 7's balls still bring near copies together; what only they find is verified."""
+
+    def nothing(batches):
+        for _ in batches:
+            yield from ()
+
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    prints = lambda t: np.frombuffer(shingles.fingerprint(shingles.shingles(t)), np.uint64)
+    texts, near, far = [], 0, 0
+    while near < 20 or not far:
+        base = [word() for _ in range(120)]
+        own = list(base)
+        for k in rnd.sample(range(0, 120, 5), rnd.choice((1, 6))):
+            own[k] = word()
+        a, b = " ".join(base), " ".join(own)
+        if np.bitwise_count(prints(a) ^ prints(b)).min() > 3:
+            continue
+        similar = 9 * len(parts(a) & parts(b)) >= 4 * (len(parts(a)) + len(parts(b)))
+        near, far = near + similar, far + (not similar)
+        if not similar or near <= 20:
+            texts += [a, b]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(shingles, "_neighbours", nothing)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert len(stay(rows)) == len(rows) - 20 and sorted(r["doc_id"] for r in out.collect()) == stay(rows)
