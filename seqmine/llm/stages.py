@@ -49,8 +49,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def similar_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each group of five-word similarity 0.8: the one with the smallest id, a null id only if there is
-    no other, and of equal ids the one with the smallest hash of all columns. Null and empty texts are equal texts."""
+    """One document of each group of five-word similarity 0.8, by operator 7's balls, verified, and by prefixes where they
+    don't reach: the one with the smallest id, a null id only if there is no other, and of equal ids the one with the
+    smallest hash of all columns. Null and empty texts are equal texts."""
     return shingles.deduplicate(docs)
 
 
