@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: What separates words: the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of a batch that Spark sends to a Python worker (one row at least); Spark's own limit is 64 MB
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +51,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark send BATCH_BYTES at most to a worker at once, for the rest of the session; a lower limit stays. Its 64 MB
+    hold a whole split of texts, which JVM and worker both keep several times over for each core."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    jvm = spark._jvm.org.apache.spark.network.util.JavaUtils
+    if not 0 < jvm.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def release() -> None:
     """Gives memory that a worker has freed back to the system; without it a worker stays as large as it ever was."""
     pa.default_memory_pool().release_unused()

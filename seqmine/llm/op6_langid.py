@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from .common import text_slices
 
 BUCKETS = 1 << 15
+#: bytes of text whose n-grams a worker holds at once: its arrays take some 60 times as much
+SLICE = 1 << 20
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -86,7 +88,7 @@ def learn(df: DataFrame, max_docs: int = 5000, lang_col: str = "lang") -> tuple[
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, SLICE):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
                 grams, _, _ = ngrams([t for x, t in zip(langs, texts, strict=True) if x == lang])
@@ -118,7 +120,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], evidence: int =
         log_p = shared.value
         # the least probable bucket has what smoothing gives to each
         learned = np.maximum(1e-6, 1 - BUCKETS * np.exp(log_p[:, :-1].min(1, keepdims=True).astype(float))) if langs else None
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, SLICE):
             texts = batch.column(at).to_pylist()
             grams, starts, lettered = ngrams(texts)
             if langs:

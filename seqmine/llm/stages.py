@@ -3,7 +3,8 @@
 Defined results, for all stages: null and empty texts are documents like any other, that the quality rules and the
 language stage reject; null ids are kept apart from each other where a stage doesn't compare texts; repeated rows are
 documents of their own until near-deduplication, which keeps one of them; an empty table gives an empty table with the
-same columns; other columns, whatever their names, pass by.
+same columns; other columns, whatever their names, pass by. Stages with Python workers lower the session's limit for what
+goes to a worker at once (`common.small_batches`), which never changes a result.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import op6_langid as langid
 from . import shingles
+from .common import small_batches
 from .op1_packing import pack
 from .op4_quality import filter_documents
 from .op7_simhash import deduplicate
@@ -34,12 +36,16 @@ def language(docs: DataFrame) -> DataFrame:
 
     Null texts, texts without a letter and texts that no learned language fits go; between equal languages the first in
     order is taken, which doesn't matter here; without any lang only texts without a letter go."""
+    small_batches(docs.sparkSession)
     doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     model = langid.learn(docs.select(doc_id, "lang", text))
     if not model[0]:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))  # nothing to tell languages by: only what has no letter goes
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole_row"), text)
-    return langid.predict(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("fit") >= LEAST_FIT)).select("whole_row.*")
+    # a text goes to the workers once: in the row only if it is no string there
+    apart = [c for c in docs.columns if c == "text" and dict(docs.dtypes)[c] == "string"]
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in apart)).alias("rest_of_row")
+    told = langid.predict(docs.select(rest, text), model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("fit") >= LEAST_FIT))
+    return told.select(*("text" if c in apart else F.col("rest_of_row")[c].alias(c) for c in docs.columns))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -52,6 +58,7 @@ def similar_dedup(docs: DataFrame) -> DataFrame:
     """One document of each group of five-word similarity 0.8, by operator 7's balls, verified, and by prefixes where they
     don't reach: the one with the smallest id, a null id only if there is no other, and of equal ids the one with the
     smallest hash of all columns. Null and empty texts are equal texts."""
+    small_batches(docs.sparkSession)
     return shingles.deduplicate(docs)
 
 
@@ -65,4 +72,5 @@ def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
 def packing(docs: DataFrame) -> DataFrame:
     """The pieces of all documents, with their ids and places in sequences. A null text is an empty one, which is the end
     id alone; repeated rows are packed each; documents of a class fill its bins in the order in which they come."""
+    small_batches(docs.sparkSession)
     return pack(docs)

@@ -5,7 +5,8 @@ import pytest
 from conftest import CLASHING, DATA
 from pyspark.sql import functions as F
 
-from seqmine.llm import stages
+from seqmine.llm import op1_packing, op6_langid, shingles, stages
+from seqmine.llm.common import BATCH_BYTES, small_batches, text_slices
 from seqmine.llm.op4_quality import assess
 from seqmine.llm.op6_langid import learn, predict
 from seqmine.llm.op7_simhash import near_duplicates, simhash
@@ -71,3 +72,38 @@ def test_run_is_its_stages(spark):
     want = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     sums = [df.groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")) for df in (want, corpus_pipeline.run(spark, DATA))]
     assert rows(sums[0]) == rows(sums[1])
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    def watched(batches, *a, **b):
+        def small():
+            for batch in batches:
+                assert batch.nbytes < 1.25 * BATCH_BYTES, batch.nbytes
+                yield batch
+
+        yield from text_slices(small(), *a, **b)
+
+    for module in (op1_packing, op6_langid, shingles):
+        monkeypatch.setattr(module, "text_slices", watched)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.concat(F.lit("some words of "), "id", F.lit(" ")), 400)).alias("text"), F.lit("en").alias("lang"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for stage in (stages.language, stages.similar_dedup, stages.packing):
+            spark.conf.set(name, "64m")
+            assert stage(docs).select("doc_id").distinct().count() == 3000
+        spark.conf.set(name, "1m")
+        small_batches(spark)
+        assert spark.conf.get(name) == "1m"  # a lower limit stays
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_language_keeps_rows_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "en", "some words of a text"), (2, None, "other words of a text"), (3, "en", "123"), (4, "en", None)], "fit long, lang string, text string")
+    docs = docs.select("fit", "text", "lang", F.col("fit").alias("doc_id"), F.lit(1).alias("rest_of_row"))
+    for kind in ("string", "binary"):
+        given = docs.withColumn("text", F.col("text").cast(kind))
+        out = stages.language(given)
+        assert out.schema.simpleString() == given.schema.simpleString()
+        assert rows(out) == rows(given.where("doc_id < 3"))
