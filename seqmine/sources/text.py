@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequences import WHITE, sequence_id, tokenize
+from ..functions.sequences import WHITE, sequence_id, tokenize, words
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = True, pattern: str | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def read_sentences(spark: SparkSession, paths: str | list[str], max_docs: int =
     lines = read_lines(spark, paths).withColumn("line", F.monotonically_increasing_id())
     if max_docs > 0:
         lines = lines.withColumn("n", F.row_number().over(W.partitionBy("file").orderBy("line"))).where(F.col("n") <= max_docs)
-    rows = lines.select(F.filter(tokenize(F.trim("value"), sep), lambda t: t != "").alias("items"), F.concat_ws(":", "file", "line").alias("seq_id"))
+    rows = lines.select(words(F.trim("value"), sep).alias("items"), F.concat_ws(":", "file", "line").alias("seq_id"))
     return _with_sid(rows, "seq_id", "items")
 
 
@@ -46,7 +46,7 @@ def read_length_prefixed(spark: SparkSession, paths: str | list[str]) -> DataFra
 
 def read_int_sequences(spark: SparkSession, paths: str | list[str], sep: str = "\t") -> DataFrame:
     """Lines of encoded items without an id, -n for n positions of gap: (sid, pos, item)."""
-    values = read_lines(spark, paths).select(F.filter(tokenize("value", sep), lambda t: t != "").cast("array<long>").alias("items"))
+    values = read_lines(spark, paths).select(words(F.col("value"), sep).cast("array<long>").alias("items"))
     rows = _with_sid(values, "items").select("sid", F.posexplode("items").alias("at", "item"))
     before = W.partitionBy("sid").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     pos = F.coalesce(F.sum(F.when(F.col("item") < 0, -F.col("item")).otherwise(1)).over(before), F.lit(0))
