@@ -48,7 +48,8 @@ def _event_lines(spark: SparkSession, sf_dir: str, path: str) -> str:
     rows = _events(spark, sf_dir)
     for k in (0, 1):
         part = rows.where(F.col("sid") % 2 == k)
-        _lines(part, F.col("sid").cast("string"), "items").coalesce(1).write.text(f"{path}/users{k}")
+        # dealt to one task as lines: coalesce would have it sort and gather all events as well
+        _lines(part, F.col("sid").cast("string"), "items").repartition(1).write.text(f"{path}/users{k}")
     rows.select(F.col("sid").cast("string").alias("value")).write.option("header", True).csv(f"{path}/other")
     return path
 
