@@ -77,14 +77,15 @@ def read_separated_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_sentence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark, "sentences")
-    _lines(op.collect(db.turns(spark, sf_dir)), "items").write.text(path)
+    _lines(db.turn_sequences(spark, sf_dir), "items").write.text(path)
     return read_sentences(spark, path).groupBy(fn.pattern_text("items").alias("sequence")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def read_first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten lines of each file, of which there is one."""
     path = _place(spark, "sentences")
-    _lines(op.collect(db.turns(spark, sf_dir)).orderBy("sid"), "items").coalesce(1).write.text(path)
+    lines = db.turn_sequences(spark, sf_dir).select("sid", F.concat_ws(" ", "items").alias("value"))
+    lines.orderBy("sid").select("value").coalesce(1).write.text(path)
     return read_sentences(spark, path, max_docs=10).select(fn.pattern_text("items").alias("sequence"))
 
 
