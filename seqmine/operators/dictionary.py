@@ -9,11 +9,24 @@ from pyspark.sql import functions as F
 from .tables import table
 
 
-def item_counts(sequences: DataFrame) -> DataFrame:
-    """(item, cf, df). sequences: (sid, items). An item is counted within its transaction before the shuffle."""
-    rows = sequences.select(F.explode("items").alias("item"), "sid")
-    inside = rows.groupBy("item", "sid").agg(F.count(F.lit(1)).alias("n"))
-    return inside.groupBy("item").agg(F.sum("n").alias("cf"), F.count(F.lit(1)).alias("df"))
+def repeated(sequences: DataFrame, keys: list[str]) -> bool:
+    """Whether sequences have more than one row for an id."""
+    return not sequences.where(F.col("sid").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def item_counts(sequences: DataFrame, unique: bool = False) -> DataFrame:
+    """(item, cf, df). sequences: (sid, items); unique says that no sid repeats, which is looked up otherwise.
+
+    Items are counted within their row, where equal ones stand together, so that only sums are dealt."""
+    if not unique and repeated(sequences, ["sid"]):
+        known = sequences.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.flatten(F.collect_list("items")).alias("items"))
+        sequences = known.unionByName(sequences.where(F.col("sid").isNull()).select("sid", "items"))
+    rows = sequences.select(F.col("sid").isNotNull().alias("known"), F.sort_array("items").alias("items"))
+    none = F.lit(None).cast(sequences.schema["items"].dataType.elementType)
+    pairs = F.arrays_zip(F.col("items").alias("item"), F.concat(F.array(none), "items").alias("before"))
+    rows = rows.select("known", F.inline(pairs).alias("item", "before")).where("item IS NOT NULL")
+    first = F.col("before").isNull() | (F.col("before") != F.col("item"))
+    return rows.groupBy("item").agg(F.count(F.lit(1)).alias("cf"), F.count_if(first & F.col("known")).alias("df"))
 
 
 def with_ids(counts: DataFrame) -> DataFrame:
@@ -29,9 +42,9 @@ def with_ids(counts: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(before), "task").select("item", "cf", "df", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("id"))
 
 
-def dictionary(sequences: DataFrame) -> DataFrame:
+def dictionary(sequences: DataFrame, unique: bool = False) -> DataFrame:
     """(item, cf, df, id) of (sid, items)."""
-    return with_ids(item_counts(sequences))
+    return with_ids(item_counts(sequences, unique))
 
 
 def frequent_items(dictionary_: DataFrame, sigma: int) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..params import ALL, CLOSED, MAXIMAL, MiningParams
 from .chains import CANDIDATES, counted_chains
 from .condense import condense
+from .dictionary import repeated
 from .encode import positions as spread
 from .tables import table
 
@@ -56,10 +57,6 @@ def _reach(gamma: int) -> Column:
     return F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last)))
 
 
-def _repeated(sequences: DataFrame, keys: list[str]) -> bool:
-    return not sequences.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-
-
 def _units(positions: DataFrame, params: MiningParams, keys: list[str]) -> DataFrame:
     """(group, poss, items[, n][, seq]): sequences by rows, seq where one has several. positions: (keys, pos, item[, weight]).
 
@@ -114,7 +111,7 @@ def mine_levels(positions: DataFrame, params: MiningParams, keys: list[str] | No
         raise ValueError("the last key is sid")
     if "items" in positions.columns:
         positions = positions.where(F.col("sid").isNotNull())
-        if _repeated(positions, keys):
+        if repeated(positions, keys):
             positions = spread(positions, *group, *(["weight"] if _weighted(positions) else []))
     if "items" in positions.columns:
         units = positions.select(*group, "items", *([F.col("weight").cast("long").alias("n")] if _weighted(positions) else []))

@@ -31,7 +31,7 @@ class Encoded:
 def encode_text(spark: SparkSession, path: str, sep: str = WHITE, pattern: str | None = None) -> Encoded:
     """Text lines to ids. The lines are read twice, once to count and once to encode, and never held."""
     sequences = read_sequences(spark, path, sep, pattern, with_file=True)
-    dictionary = op.dictionary(sequences.select("sid", "items"))
+    dictionary = op.dictionary(sequences.select("sid", "items"), unique=True)
     return Encoded(op.encode(op.positions(sequences, "file"), dictionary), dictionary)
 
 

@@ -74,8 +74,8 @@ def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def translate_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded, decoded and joined to text again."""
     dictionary = dictionary_documents(spark, sf_dir)
-    back = op.encode(db.documents(spark, sf_dir), dictionary).join(dictionary.select(F.col("id").alias("item"), F.col("item").alias("name")), "item")
-    return op.collect(back.select("sid", "pos", "name"), "name").select("sid", F.md5(pattern_text("items").cast("binary")).alias("text_md5"))
+    back = op.names(op.encode(db.documents(spark, sf_dir), dictionary), dictionary)
+    return op.collect(back).select("sid", F.md5(pattern_text("items").cast("binary")).alias("text_md5"))
 
 
 def pivot_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def pivot_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _events_pivot(spark: SparkSession, sf_dir: str):
     events = db.events(spark, sf_dir)
-    dictionary = op.dictionary(op.collect(events))
+    dictionary = op.dictionary(op.collect(events), unique=True)
     return op.encode(events, dictionary), op.pack_items(dictionary, 10, 200)
 
 
@@ -125,8 +125,8 @@ def max_pattern_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_at_gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of frequent words of documents with at most one word between neighbours."""
-    frequent = flist(spark, sf_dir).select("item")
-    return op.segments(db.documents(spark, sf_dir).join(frequent, "item", "left_semi"), 1)
+    frequent = op.encode(db.documents(spark, sf_dir), flist(spark, sf_dir))
+    return op.segments(frequent.select("sid", "pos"), 1)
 
 
 def posting_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def read_encoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids as text; written twice, since a sink replaces what is there."""
     events = db.events(spark, sf_dir)
     path = _place(spark, "encoded-text")
-    encoded = op.collect(op.encode(events, op.dictionary(op.collect(events))))
+    encoded = op.collect(op.encode(events, op.dictionary(op.collect(events), unique=True)))
     op.write_encoded_text(encoded.limit(1), path)
     op.write_encoded_text(encoded, path)
     return _shown(read_encoded_text(spark, path))
@@ -138,7 +138,7 @@ def dictionary_sorted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item of the f-list's single file with the one on the line before."""
     events = _events(spark, sf_dir)
     path = _place(spark, "dictionary")
-    op.write_dictionary(op.dictionary(events), path, single_file=True)
+    op.write_dictionary(op.dictionary(events, unique=True), path, single_file=True)
     lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
     items = lines.select(F.split("value", "\t")[0].alias("item"), (F.col("line")).alias("line"))
     before = items.select(F.col("item").alias("before"), (F.col("line") + 1).alias("line"))
@@ -146,14 +146,14 @@ def dictionary_sorted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(op.dictionary(_events(spark, sf_dir)), "dictionary")
+    d = table(op.dictionary(_events(spark, sf_dir), unique=True), "dictionary")
     return op.lookup(d, id=1).unionByName(op.lookup(d, item="click")).distinct()
 
 
 def encoded_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded positions and dictionary, saved compressed and loaded, decoded."""
     events = db.events(spark, sf_dir)
-    d = op.dictionary(op.collect(events))
+    d = op.dictionary(op.collect(events), unique=True)
     path = _place(spark, "kept")
     op.save_encoded(op.encode(events, d), d, path, codec="gzip")
     positions, loaded = load_encoded(spark, path)
@@ -171,7 +171,7 @@ def pattern_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pattern_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded patterns written, read and decoded."""
     events = db.events(spark, sf_dir)
-    d = table(op.dictionary(op.collect(events)), "dictionary")
+    d = table(op.dictionary(op.collect(events), unique=True), "dictionary")
     path = _place(spark, "patterns")
     op.write_encoded_patterns(op.mine(op.encode(events, d), GAPS), path)
     return op.as_text(op.decode(spark.read.parquet(path), d))
@@ -213,7 +213,7 @@ def pivot_one_partition_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _encoded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = db.events(spark, sf_dir)
-    return op.collect(op.encode(events, op.dictionary(op.collect(events))))
+    return op.collect(op.encode(events, op.dictionary(op.collect(events), unique=True)))
 
 
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,9 +242,8 @@ def array_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gap_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often how many positions lie between frequent words of documents that follow one another."""
-    words = db.documents(spark, sf_dir)
-    frequent = op.frequent_items(op.dictionary(db.document_sequences(spark, sf_dir)), 20).select("item")
-    rows = words.join(frequent, "item", "left_semi")
+    frequent = op.frequent_items(op.dictionary(db.document_sequences(spark, sf_dir)), 20)
+    rows = op.encode(db.documents(spark, sf_dir), frequent).select("sid", "pos")
     before = F.lag("pos").over(W.partitionBy("sid").orderBy("pos"))
     gaps = rows.withColumn("gap", fn.gap_between(before, F.col("pos"))).where("gap IS NOT NULL")
     return gaps.groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
